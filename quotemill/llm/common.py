@@ -85,3 +85,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     nodes = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
+
+
+def region_links(regions: DataFrame, keys: list[str], fits, confirm, stars: DataFrame | None = None) -> DataFrame:
+    """Confirmed links ``(a, b)`` between members of a region (rows ``keys, id, root`` and what ``fits``
+    compares; root is the region's smallest id), enough of them to join all that links join.
+
+    Members are first linked to their root (``stars`` may hold these candidates already). Members in another
+    component than their root after that are compared with all members of other components. A group of
+    near copies, however large, thus costs one candidate a member and is never expanded into pairs."""
+    if stars is None:
+        x, r = regions.filter("id <> root").alias("x"), regions.filter("id = root").alias("r")
+        here = [F.col(f"x.{k}") == F.col(f"r.{k}") for k in keys]
+        stars = x.join(r, _all(here) & fits("x", "r")).select(F.col("r.id").alias("a"), F.col("x.id").alias("b"))
+    links = confirm(stars)
+    groups = checkpoint(connected_components(links))
+    rows = materialize(regions.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
+    rows = rows.join(rows.filter("id = root").select(*keys, F.col("c").alias("root_c")), keys)
+    x, y = rows.filter("c <> root_c").alias("x"), rows.alias("y")
+    here = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    once = (F.col("y.c") == F.col("y.root_c")) | (F.col("x.id") < F.col("y.id"))
+    rest = x.join(y, _all(here) & (F.col("x.c") != F.col("y.c")) & once & fits("x", "y"))
+    return links.unionByName(confirm(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import checkpoint, connected_components, materialize, small
+from quotemill.llm.common import checkpoint, connected_components, materialize, region_links, small
 
 TREES, LEVELS, MIN_DEPTH, REGION = 20, 6, 3, 64
 PERCENT = 80
@@ -150,20 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last or rows.filter(F.col("many") > REGION).isEmpty():
             break
         rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", "n", "b0", "b1")
-    links = _confirmed(_union(stars), docs, size, percent)
-
+    links = region_links(
+        _union(leaves), ["t", "depth", "p"], lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
+    )
     groups = checkpoint(connected_components(links))
-    leaf = _union(leaves).join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    leaf = materialize(leaf)
-    root_c = leaf.filter("id = root").select("t", "depth", "p", F.col("c").alias("root_c"))
-    leaf = leaf.join(root_c, ["t", "depth", "p"])
-    x, y = leaf.filter("c <> root_c").alias("x"), leaf.alias("y")
-    same = (F.col("x.t") == F.col("y.t")) & (F.col("x.depth") == F.col("y.depth")) & (F.col("x.p") == F.col("y.p"))
-    once = (F.col("y.c") == F.col("y.root_c")) | (F.col("x.id") < F.col("y.id"))
-    rest = x.join(y, same & (F.col("x.c") != F.col("y.c")) & once & _fits("x", "y", percent))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    more = _confirmed(rest, docs, size, percent)
-    groups = checkpoint(connected_components(links.unionByName(more)))
 
     first = first.join(groups, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n", "fp").join(first, "fp", "left")
