@@ -1,0 +1 @@
+"""Market-data candles, indicators and scanners as Spark DataFrame transforms."""
