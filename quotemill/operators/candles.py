@@ -50,15 +50,15 @@ def session_filter(bars: DataFrame, start: str, end: str) -> DataFrame:
 def split_adjust(bars: DataFrame, splits: DataFrame, to) -> DataFrame:
     """Prices before a split's execution date times from / to, for splits executed up to ``to``; volume is left.
 
-    The product over later splits is a running sum of logarithms per symbol, found by an as-of lookup, so
-    bars are never multiplied by splits."""
-    s = splits.filter(F.col("execution_date") <= F.lit(to)).groupBy("symbol", "execution_date").agg(F.sum(F.log(F.col("split_from") / F.col("split_to"))).alias("l"))
+    The product over later splits is a running product per symbol, found by an as-of lookup, so bars are
+    never multiplied by splits."""
+    s = splits.filter(F.col("execution_date") <= F.lit(to)).groupBy("symbol", "execution_date").agg(F.product(F.col("split_from") / F.col("split_to")).alias("l"))
     w = Window.partitionBy("symbol").orderBy(F.desc("execution_date")).rowsBetween(Window.unboundedPreceding, 0)
-    s = s.select("symbol", F.date_sub("execution_date", 1).alias("date"), F.sum("l").over(w).alias("l"))
+    s = s.select("symbol", F.date_sub("execution_date", 1).alias("date"), F.product("l").over(w).alias("l"))
     from quotemill.operators.blocks import asof_join
 
     out = asof_join(bars, s, {"l": "_l"}, forward=True)
-    factor = F.exp(F.coalesce("_l", F.lit(0.0)))
+    factor = F.coalesce("_l", F.lit(1.0))
     return out.select(*[(F.col(c) * factor).alias(c) if c in OHLC else F.col(c) for c in bars.columns])
 
 

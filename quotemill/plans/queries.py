@@ -250,19 +250,19 @@ def market_cap(spark, sf_dir):
     return _out(fundamental.market_cap(_days(spark, sf_dir), model.market_caps(spark, sf_dir)), "symbol", "date", "market_cap")
 
 
-@_register("days_to_earnings", "SELECT s.symbol, s.date, (e.date - s.date)::INTEGER AS days_to_earnings FROM ship s ASOF LEFT JOIN earn e ON s.symbol = e.symbol AND s.date <= e.date", *_FUND)
+@_register("days_to_earnings", "SELECT s.symbol, s.date, (e.date - s.date)::DOUBLE AS days_to_earnings FROM ship s ASOF LEFT JOIN earn e ON s.symbol = e.symbol AND s.date <= e.date", *_FUND)
 def days_to_earnings(spark, sf_dir):
-    return fundamental.days_to_earnings(_days(spark, sf_dir), model.earnings(spark, sf_dir))
+    return fundamental.days_to_earnings(_days(spark, sf_dir), model.earnings(spark, sf_dir)).withColumn("days_to_earnings", F.col("days_to_earnings").cast("double"))
 
 
-@_register("days_from_earnings", "SELECT s.symbol, s.date, (s.date - e.date)::INTEGER AS days_from_earnings FROM ship s ASOF LEFT JOIN earn e ON s.symbol = e.symbol AND s.date >= e.date", *_FUND)
+@_register("days_from_earnings", "SELECT s.symbol, s.date, (s.date - e.date)::DOUBLE AS days_from_earnings FROM ship s ASOF LEFT JOIN earn e ON s.symbol = e.symbol AND s.date >= e.date", *_FUND)
 def days_from_earnings(spark, sf_dir):
-    return fundamental.days_from_earnings(_days(spark, sf_dir), model.earnings(spark, sf_dir))
+    return fundamental.days_from_earnings(_days(spark, sf_dir), model.earnings(spark, sf_dir)).withColumn("days_from_earnings", F.col("days_from_earnings").cast("double"))
 
 
-@_register("days_since_ipo", "SELECT symbol, date, CASE WHEN date >= ipo THEN (date - ipo)::INTEGER END AS days_since_ipo FROM ship LEFT JOIN ipo USING (symbol)", *_FUND)
+@_register("days_since_ipo", "SELECT symbol, date, CASE WHEN date >= ipo THEN (date - ipo)::DOUBLE END AS days_since_ipo FROM ship LEFT JOIN ipo USING (symbol)", *_FUND)
 def days_since_ipo(spark, sf_dir):
-    return fundamental.days_since_ipo(_days(spark, sf_dir), model.static(spark, sf_dir)).select("symbol", "date", "days_since_ipo")
+    return fundamental.days_since_ipo(_days(spark, sf_dir), model.static(spark, sf_dir)).select("symbol", "date", F.col("days_since_ipo").cast("double"))
 
 
 @_register("filter_market_cap", "SELECT s.symbol, s.date FROM ship s ASOF LEFT JOIN caps c ON s.symbol = c.symbol AND s.date >= c.date WHERE c.value BETWEEN 100000 AND 300000 OR c.value IS NULL", *_FUND)
