@@ -10,11 +10,12 @@ least ``percent`` / 100 are linked, and components of links are returned.
   their signature, and a region of it is a run of documents whose signatures share a prefix. Documents with
   a common prefix of at least ``MIN_DEPTH`` labels are candidates. A region with more than ``REGION``
   documents is split at the next level (adaptive depth), until the signature ends.
-* Every region links its members to its smallest id at every depth it passes (a star, linear in the
-  region). Stars give first components; members that a leaf region's star did not reach are then compared
+* Every region links its members to its root at every depth it passes (a star, linear in the region).
+  The root is the smallest id, in larger regions the member nearest to the majority of the region's
+  sketches: edited copies of one text are linked to that text, though not to each other. Stars give first components; members that a leaf region's star did not reach are then compared
   with all members of that region in other components, so that a group of thousands of near copies is
   never expanded into pairs while pairs that could join two components are all looked at.
-* A candidate pair must fit by set size and by a 120-bit sketch (one bit of each MinHash, a bound at six
+* A candidate pair must fit by set size and by a sketch (four bits of each MinHash, with a bound at six
   standard deviations), and is confirmed on the full sets before it links.
 
 A pair at similarity s is a candidate with probability 1 - (1 - s**MIN_DEPTH)**TREES: 0.9999994 at 0.8.
@@ -36,8 +37,11 @@ from quotemill.llm.common import checkpoint, connected_components, materialize,
 
 TREES, LEVELS, MIN_DEPTH, REGION = 20, 6, 3, 64
 PERCENT = 80
-#: Bits of 120 in which sketches of a linked pair may differ: each differs with probability 0.1 at 0.8.
-MAX_BITS = 33
+#: Labels of 120 in which sketches (4 bits of each MinHash) of a linked pair may differ: 22.5 are expected
+#: at similarity 0.8, with a standard deviation of 4.3.
+MAX_APART = 48
+CENTRED = 8
+SKETCH = [f"b{k}" for k in range(TREES * LEVELS // 15)]
 
 _U = np.uint64
 
@@ -82,11 +86,12 @@ def _signatures(size: int):
                 fp.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 m = _minima(h)
                 key.append((m & _U(0xFFFF)).astype(">u2").tobytes() if len(h) else None)
-                bits.append(np.packbits(((m >> _U(40)) & _U(1)).astype(np.uint8)).tobytes())
-            two = np.frombuffer(b"".join(x + b"\0" for x in bits), ">i8").reshape(-1, 2).astype(np.int64)
+                bits.append((m >> _U(40)) & _U(15))
+            nibbles = np.array(bits, np.uint64).reshape(len(bits), len(SKETCH), 15) << (_U(4) * np.arange(15, dtype=np.uint64))
+            sketch = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(key, pa.binary()), pa.array(two[:, 0]), pa.array(two[:, 1])],
-                names=["doc_id", "n", "fp", "key", "b0", "b1"],
+                [ids, pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(key, pa.binary()), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]],
+                names=["doc_id", "n", "fp", "key", *SKETCH],
             )
 
     return run
@@ -104,8 +109,13 @@ def _sets(size: int):
 def _fits(a: str, b: str, percent: int):
     """Whether two candidates can reach the similarity by set size and by sketch."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1")))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= MAX_BITS)
+    apart = F.lit(0)
+    for k in SKETCH:  # labels that differ: non-zero groups of four bits
+        x = F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= MAX_APART)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -120,36 +130,54 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
 
 
 def _forest(reps: DataFrame) -> DataFrame:
-    """``t, key, id, n, b0, b1``: every set once in each tree, with that tree's signature."""
+    """``t, key, id``: every set once in each tree, with that tree's signature."""
     width = 2 * LEVELS
     t = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")
-    rows = reps.select(F.col("doc_id").alias("id"), "n", "b0", "b1", "key", t)
+    rows = reps.select(F.col("doc_id").alias("id"), "key", t)
     return rows.withColumn("key", F.substring("key", F.col("t") * width + 1, F.lit(width)))
 
 
+def _centred(rows: DataFrame) -> DataFrame:
+    """``rows`` with the most central member as root of every region of at least ``CENTRED`` members: a
+    majority vote of 120 bits of the sketches, then the member that differs from it in the fewest."""
+    big = rows.filter(F.col("many") >= CENTRED)
+    votes = {f"v{c}_{k}": F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1))) for c in SKETCH[:2] for k in range(60)}
+    won = big.groupBy("t", "p").agg(F.count("*").alias("n_in"), *[v.alias(k) for k, v in votes.items()])
+    for c in SKETCH[:2]:
+        bits = [F.when(2 * F.col(f"v{c}_{k}") > F.col("n_in"), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(60)]
+        won = won.withColumn(f"m{c}", F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, x: a + x))
+    won = materialize(won.select("t", "p", *[f"m{c}" for c in SKETCH[:2]]))
+    far = F.bit_count(F.col("b0").bitwiseXOR(F.col("mb0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("mb1")))
+    best = big.join(won, ["t", "p"]).groupBy("t", "p").agg(F.min(F.struct(far.alias("far"), "id")).alias("best"))
+    rows = rows.join(best, ["t", "p"], "left")
+    return materialize(rows.withColumn("root", F.coalesce("best.id", "root")).drop("best"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(docs.mapInArrow(_signatures(size), "doc_id long, n int, fp binary, key binary, b0 long, b1 long"))
+    sig = materialize(docs.mapInArrow(_signatures(size), "doc_id long, n int, fp binary, key binary, " + ", ".join(f"{k} long" for k in SKETCH)))
     with_id = sig.filter("doc_id IS NOT NULL AND n > 0")
     first = materialize(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reps = with_id.join(first.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"])
 
+    sketches = reps.select(F.col("doc_id").alias("id"), "n", *SKETCH)
     stars, leaves, rows = [], [], _forest(reps)
     for depth in range(MIN_DEPTH, LEVELS + 1):
         rows = rows.withColumn("p", F.substring("key", 1, 2 * depth))
         if depth == MIN_DEPTH:
             rows = materialize(rows)
         regions = rows.groupBy("t", "p").agg(F.count("*").alias("many"), F.min("id").alias("root")).filter("many > 1")
-        rows = materialize(rows.join(regions, ["t", "p"]))
-        roots = rows.filter("id = root").select("t", "p", "id", "n", "b0", "b1")
+        rows = rows.join(regions, ["t", "p"])
+        rows = _centred(materialize(rows.join(sketches, "id") if depth == MIN_DEPTH else rows))
+        roots = rows.filter("id = root").select("t", "p", "id", "n", *SKETCH)
         x, r = rows.filter("id <> root").alias("x"), roots.alias("r")
         stars.append(x.join(r, (F.col("x.t") == F.col("r.t")) & (F.col("x.p") == F.col("r.p")) & _fits("x", "r", percent)).select(F.col("r.id").alias("a"), F.col("x.id").alias("b")))
         last = depth == LEVELS
         leaves.append(rows.filter(F.lit(True) if last else F.col("many") <= REGION).withColumn("depth", F.lit(depth)).drop("key", "many"))
         if last or rows.filter(F.col("many") > REGION).isEmpty():
             break
-        rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", "n", "b0", "b1")
+        rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", "n", *SKETCH)
     links = region_links(
         _union(leaves), ["t", "depth", "p"], lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
     )
