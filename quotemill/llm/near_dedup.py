@@ -15,8 +15,10 @@ least ``percent`` / 100 are linked, and components of links are returned.
   sketches: edited copies of one text are linked to that text, though not to each other. Stars give first components; members that a leaf region's star did not reach are then compared
   with all members of that region in other components, so that a group of thousands of near copies is
   never expanded into pairs while pairs that could join two components are all looked at.
-* A candidate pair must fit by set size and by a sketch (four bits of each MinHash, with a bound at six
-  standard deviations), and is confirmed on the full sets before it links.
+* A candidate pair must fit by set size, by a sketch (four bits of each MinHash, with a bound at six standard
+  deviations) and by an odd sketch (Mitzenmacher et al. 2014): 512 parities of hashed shingles, in which two
+  sets differ in no more bits than in shingles, so that this bound never loses a link and is close for sets
+  of up to about a thousand shingles. What fits is confirmed on the full sets before it links.
 
 A pair at similarity s is a candidate with probability 1 - (1 - s**MIN_DEPTH)**TREES: 0.9999994 at 0.8.
 
@@ -42,6 +44,8 @@ PERCENT = 80
 MAX_APART = 48
 CENTRED = 8
 SKETCH = [f"b{k}" for k in range(TREES * LEVELS // 15)]
+ODD = [f"o{k}" for k in range(8)]  # 512 parities
+COMPARED = ["n", *SKETCH, *ODD]
 
 _U = np.uint64
 
@@ -79,7 +83,7 @@ def _minima(hashes: np.ndarray) -> np.ndarray:
 def _signatures(size: int):
     def run(batches):
         for b in batches:
-            ids, n, fp, key, bits = b.column(0), [], [], [], []
+            ids, n, fp, key, bits, odd = b.column(0), [], [], [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text, size)
                 n.append(len(h))
@@ -87,11 +91,13 @@ def _signatures(size: int):
                 m = _minima(h)
                 key.append((m & _U(0xFFFF)).astype(">u2").tobytes() if len(h) else None)
                 bits.append((m >> _U(40)) & _U(15))
+                odd.append(np.packbits(np.bincount((h >> _U(55)).astype(np.int64), minlength=512) & 1))
             nibbles = np.array(bits, np.uint64).reshape(len(bits), len(SKETCH), 15) << (_U(4) * np.arange(15, dtype=np.uint64))
             sketch = np.bitwise_or.reduce(nibbles, axis=2).view(np.int64)
+            sketch = np.hstack([sketch, np.array(odd, np.uint8).reshape(len(odd), 8 * len(ODD)).view(np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(key, pa.binary()), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(len(SKETCH))]],
-                names=["doc_id", "n", "fp", "key", *SKETCH],
+                [ids, pa.array(fp, pa.binary()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), *[pa.array(np.ascontiguousarray(c)) for c in sketch.T]],
+                names=["doc_id", "fp", "key", *COMPARED],
             )
 
     return run
@@ -115,7 +121,11 @@ def _fits(a: str, b: str, percent: int):
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         apart = apart + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (apart <= MAX_APART)
+    odd = F.lit(0)
+    for k in ODD:
+        odd = odd + F.bit_count(F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")))
+    near = (100 + percent) * odd <= (100 - percent) * (na + nb)
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & near & (apart <= MAX_APART)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -156,12 +166,12 @@ def _centred(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = materialize(docs.mapInArrow(_signatures(size), "doc_id long, n int, fp binary, key binary, " + ", ".join(f"{k} long" for k in SKETCH)))
+    sig = materialize(docs.mapInArrow(_signatures(size), "doc_id long, fp binary, key binary, n int, " + ", ".join(f"{k} long" for k in SKETCH + ODD)))
     with_id = sig.filter("doc_id IS NOT NULL AND n > 0")
     first = materialize(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reps = with_id.join(first.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"])
 
-    sketches = reps.select(F.col("doc_id").alias("id"), "n", *SKETCH)
+    sketches = reps.select(F.col("doc_id").alias("id"), *COMPARED)
     stars, leaves, rows = [], [], _forest(reps)
     for depth in range(MIN_DEPTH, LEVELS + 1):
         rows = rows.withColumn("p", F.substring("key", 1, 2 * depth))
@@ -170,14 +180,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         regions = rows.groupBy("t", "p").agg(F.count("*").alias("many"), F.min("id").alias("root")).filter("many > 1")
         rows = rows.join(regions, ["t", "p"])
         rows = _centred(materialize(rows.join(sketches, "id") if depth == MIN_DEPTH else rows))
-        roots = rows.filter("id = root").select("t", "p", "id", "n", *SKETCH)
+        roots = rows.filter("id = root").select("t", "p", "id", *COMPARED)
         x, r = rows.filter("id <> root").alias("x"), roots.alias("r")
         stars.append(x.join(r, (F.col("x.t") == F.col("r.t")) & (F.col("x.p") == F.col("r.p")) & _fits("x", "r", percent)).select(F.col("r.id").alias("a"), F.col("x.id").alias("b")))
         last = depth == LEVELS
         leaves.append(rows.filter(F.lit(True) if last else F.col("many") <= REGION).withColumn("depth", F.lit(depth)).drop("key", "many"))
         if last or rows.filter(F.col("many") > REGION).isEmpty():
             break
-        rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", "n", *SKETCH)
+        rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", *COMPARED)
     links = region_links(
         _union(leaves), ["t", "depth", "p"], lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
     )
