@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.time import partition_key, session
 from quotemill.functions.values import human_number
-from quotemill.operators import candles, fundamental, indicators, quality, scanners
+from quotemill.operators import candles, fundamental, indicators, listings, quality, scanners
 from quotemill.operators.indicators import Daily
 from quotemill.sources import model
 
@@ -410,3 +411,102 @@ def dq_summary(spark, sf_dir):
 @_register("symbols_with_stream", "SELECT DISTINCT symbol FROM s WHERE ts::DATE = DATE '2024-01-08'", *_STREAM)
 def symbols_with_stream(spark, sf_dir):
     return model.streamed(spark, sf_dir).filter(F.to_date("ts") == F.lit("2024-01-08").cast("date")).select("symbol").distinct()
+
+
+# ---- universe, storage and merges
+
+_DAY1, _TODAY = datetime.date(2024, 1, 1), datetime.date(2024, 1, 20)
+
+
+@_register("symbol_universe", "SELECT DISTINCT p_name AS symbol FROM part WHERE p_size % 6 < 4")
+def symbol_universe(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, (*listings.TYPES, "ETF", "WARRANT"))), (F.col("p_size") % 6 + 1).cast("int"))
+    return listings.universe(model.table(spark, sf_dir, "part").select(F.col("p_name").alias("symbol"), kind.alias("type")))
+
+
+@_register(
+    "slice_ranges", 'SELECT symbol, s::DATE AS start, least(s::DATE + 364, b) AS "end" FROM (SELECT symbol, b, unnest(generate_series(a, b, INTERVAL 365 DAY)) AS s FROM (SELECT symbol, min(date) AS a, max(date) AS b FROM ship GROUP BY 1))', *SHIPMENTS
+)
+def slice_ranges(spark, sf_dir):
+    return listings.slice_ranges(_days(spark, sf_dir).groupBy("symbol").agg(F.min("date").alias("first"), F.max("date").alias("last")), 365)
+
+
+@_register("rotating_batch", "SELECT c_custkey FROM customer WHERE c_custkey % 7 = 5")
+def rotating_batch(spark, sf_dir):
+    return listings.rotating_batch(model.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", _TODAY, _DAY1, 7)
+
+
+@_register(
+    "expired_partitions",
+    "SELECT symbol, key FROM (SELECT user_id AS symbol, strftime(date_trunc('week', ts), '%Y-%m-%d') AS key, min(event_id) AS k, date_trunc('week', ts)::DATE + 7 AS e FROM events GROUP BY ALL) WHERE k % 3 = 0 OR (k % 2 = 0 AND e <= DATE '2024-01-20')",
+)
+def expired_partitions(spark, sf_dir):
+    e, week = model.table(spark, sf_dir, "events"), F.to_date(F.date_trunc("week", "ts"))
+    wanted = e.groupBy(F.col("user_id").alias("symbol"), partition_key(F.col("ts"), "1min").alias("key"), F.date_add(week, 7).alias("end")).agg(F.min("event_id").alias("k"))
+    manifest = wanted.filter("k % 3 <> 0").withColumn("expires", F.when(F.col("k") % 2 == 0, F.col("end")))
+    return listings.expired_partitions(wanted.select("symbol", "key"), manifest, _TODAY)
+
+
+_SPLIT = "x AS (SELECT p_partkey % 100 AS symbol, DATE '1996-01-01' + p_partkey::INTEGER AS execution_date, p_size % 3 + 2 AS split_to, p_size FROM part WHERE p_partkey <= 300)"
+
+
+@_register(
+    "splits_merge", "SELECT symbol, execution_date, split_to::BIGINT AS split_to FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT symbol, execution_date, split_to::BIGINT FROM n WHERE symbol IN (SELECT symbol FROM s)",
+    _SPLIT, "o AS (SELECT * FROM x WHERE execution_date < DATE '1996-07-01')", "n AS (SELECT * FROM x WHERE split_to > 2)", "s AS (SELECT DISTINCT n.symbol FROM n LEFT JOIN (SELECT symbol, max(execution_date) AS k FROM o GROUP BY 1) USING (symbol) WHERE k IS NULL OR execution_date > k)",
+)
+def splits_merge(spark, sf_dir):
+    s = model.splits(spark, sf_dir).select("symbol", "execution_date", F.col("split_to").cast("long"))
+    return listings.merge_splits(s.filter("execution_date < date'1996-07-01'"), s.filter("split_to > 2"))
+
+
+@_register(
+    "earnings_merge", "SELECT symbol, o.date FROM earn o LEFT JOIN f USING (symbol) WHERE a IS NULL OR o.date < a UNION ALL SELECT * FROM n", *_FUND,
+    "n AS (SELECT DISTINCT o_custkey % 100 AS symbol, o_orderdate::DATE AS date FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderdate >= TIMESTAMP '1997-01-01')", "f AS (SELECT symbol, min(date) AS a FROM n GROUP BY 1)",
+)
+def earnings_merge(spark, sf_dir):
+    o = model.table(spark, sf_dir, "orders").filter("o_orderpriority = '2-HIGH' AND o_orderdate >= timestamp_ntz'1997-01-01'")
+    return listings.merge_earnings(model.earnings(spark, sf_dir), o.select((F.col("o_custkey") % 100).alias("symbol"), F.to_date("o_orderdate").alias("date")))
+
+
+@_register("shares_float", "SELECT s.symbol, s.date, round(c.value, 6) AS shares_float FROM ship s LEFT JOIN caps c USING (symbol, date)", *_FUND)
+def shares_float(spark, sf_dir):
+    payload = F.to_json(F.struct("date", "value")).alias("payload")
+    return _out(listings.dated_value(_days(spark, sf_dir), model.market_caps(spark, sf_dir).select("symbol", payload), "shares_float"), "symbol", "date", "shares_float")
+
+
+_SCORED = "scored AS (SELECT lang AS symbol, substr(text, 1, 80) AS title, n_chars % 101 AS score, (n_chars + doc_id) % 101 AS again, doc_id, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS published_at FROM documents)"
+
+
+def _scored(spark, sf_dir):
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
+    again = (F.col("n_chars") + F.col("doc_id")) % 101
+    return model.table(spark, sf_dir, "documents").select(F.col("lang").alias("symbol"), F.substring("text", 1, 80).alias("title"), (F.col("n_chars") % 101).alias("score"), again.alias("again"), "doc_id", at.alias("published_at"))
+
+
+@_register("news_confidence", "SELECT doc_id, max(score) OVER (PARTITION BY symbol, published_at::DATE ORDER BY published_at) AS news_confidence FROM scored", _SCORED)
+def news_confidence(spark, sf_dir):
+    return listings.news_confidence(_scored(spark, sf_dir)).select("doc_id", "news_confidence")
+
+
+@_register("headline_mentions", "SELECT doc_id FROM scored WHERE contains(upper(title), upper(symbol))", _SCORED)
+def headline_mentions(spark, sf_dir):
+    return listings.mentions(_scored(spark, sf_dir)).select("doc_id")
+
+
+@_register("new_headlines", "SELECT doc_id FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id % 3 = 0 AND a.symbol = b.symbol AND a.title = b.title)", _SCORED)
+def new_headlines(spark, sf_dir):
+    s = _scored(spark, sf_dir)
+    return listings.new_headlines(s, s.filter("doc_id % 3 = 0")).select("doc_id")
+
+
+@_register(
+    "score_comparison", "SELECT symbol, count(*) FILTER (n = 0) AS only_old, count(*) FILTER (o = 0) AS only_new, count(*) FILTER (o > 0 AND n > 0) AS \"both\" FROM (SELECT symbol, title, count(*) FILTER (score > 50) AS o, count(*) FILTER (again > 50) AS n FROM scored WHERE symbol IS NOT NULL AND title IS NOT NULL GROUP BY 1, 2) WHERE o + n > 0 GROUP BY 1", _SCORED
+)
+def score_comparison(spark, sf_dir):
+    s = _scored(spark, sf_dir).filter("symbol IS NOT NULL AND title IS NOT NULL")
+    return listings.score_comparison(s, s.withColumn("score", F.col("again")))
+
+
+@_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 03:00')", *_STREAM)
+def dq_missing_streams(spark, sf_dir):
+    return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 03:00'"), model.bars(spark, sf_dir))
