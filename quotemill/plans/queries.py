@@ -507,6 +507,6 @@ def score_comparison(spark, sf_dir):
     return listings.score_comparison(s, s.withColumn("score", F.col("again")))
 
 
-@_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 03:00')", *_STREAM)
+@_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')", *_STREAM)
 def dq_missing_streams(spark, sf_dir):
-    return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 03:00'"), model.bars(spark, sf_dir))
+    return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 01:00'"), model.bars(spark, sf_dir))
