@@ -132,3 +132,32 @@ def test_empty_tables(spark, docs):
         quality_rules.assess(none), decontamination.contained_items(none, items), language_id.identify(none, None), toxicity.score(none, toxicity.Lexicon({})), quality_classifier.score(none, None),
     ):
         assert df.count() == 0
+
+
+def test_lines_are_hashed_alike_whole_and_cut(monkeypatch):
+    import pyarrow as pa
+
+    from quotemill.llm import line_dedup
+
+    texts = ["One two, THREE four 5five\n\nshort line\nä b c d e f\n", None, "", " \n ", "one two three four 0five", "x " * 700 + "\nlast line has six words here"]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    whole = pa.Table.from_batches(list(line_dedup._hashes([batch]))).to_pylist()
+    assert [(r["doc"], r["pos"], r["n"]) for r in whole] == [(0, 0, 5), (0, 3, 6), (4, 0, 5), (5, 0, 700), (5, 1, 6)]
+    assert whole[0]["id"] == whole[2]["id"] and (whole[0]["s0"], whole[0]["s1"]) == (whole[2]["s0"], whole[2]["s1"])
+    assert len({r["id"] for r in whole}) == 4
+    monkeypatch.setattr(line_dedup, "PIECE", 8)
+    cut = pa.Table.from_batches(list(line_dedup._hashes([batch]))).to_pylist()
+    assert cut == whole
+
+
+def test_odd_sketch_never_exceeds_the_difference():
+    import numpy as np
+
+    from quotemill.llm import near_dedup
+
+    texts = [" ".join(f"w{(i * k) % 97}" for i in range(60 + k)) for k in (1, 2, 3, 5)]
+    sets = [near_dedup.shingle_hashes(t) for t in texts]
+    odd = [np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1 for h in sets]
+    for a, x in zip(sets, odd, strict=True):
+        for b, y in zip(sets, odd, strict=True):
+            assert (x != y).sum() <= len(np.setxor1d(a, b))
