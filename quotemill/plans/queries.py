@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.time import partition_key, session
 from quotemill.functions.values import human_number
-from quotemill.operators import candles, fundamental, indicators, listings, quality, scanners
+from quotemill.operators import candles, fundamental, indicators, listings, parsing, quality, scanners
 from quotemill.operators.indicators import Daily
 from quotemill.sources import model
+from quotemill.streaming import live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -510,3 +511,53 @@ def score_comparison(spark, sf_dir):
 @_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')", *_STREAM)
 def dq_missing_streams(spark, sf_dir):
     return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 01:00'"), model.bars(spark, sf_dir))
+
+
+@_register(
+    "parse_scores",
+    "SELECT doc_id, (doc_id % 7)::INT AS idx, (n_chars % 130)::INT AS confidence FROM documents WHERE doc_id % 7 < 5 AND n_chars % 130 <= 100 UNION ALL SELECT doc_id, (n_chars % 9)::INT, (doc_id % 100)::INT FROM documents WHERE n_chars % 9 < 5",
+)
+def parse_scores(spark, sf_dir):
+    d = model.table(spark, sf_dir, "documents")
+    entry = '{"idx": %s, "confidence": %s}'
+    response = F.concat(F.lit("scores:\n"), F.format_string(f"[{entry % ('%d', '%d')}, {entry % ('%d', '%d.5')}] done", F.col("doc_id") % 7, F.col("n_chars") % 130, F.col("n_chars") % 9, F.col("doc_id") % 100))
+    return d.select("doc_id", F.explode(parsing.parse_scores(response, F.lit(5))).alias("e")).select("doc_id", "e.idx", "e.confidence")
+
+
+@_register(
+    "fundamentals_parse",
+    "SELECT s_suppkey AS symbol, s_name AS city, s_nationkey::VARCHAR AS exchange, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS beta, s_name AS ceo_name, max_by(o_totalprice, o_orderdate) AS last_cap, count(DISTINCT o_orderdate) AS n_caps FROM supplier JOIN (SELECT o_custkey, o_orderdate, max(o_totalprice) AS o_totalprice FROM orders GROUP BY ALL) ON o_custkey = s_suppkey GROUP BY ALL",
+)
+def fundamentals_parse(spark, sf_dir):
+    s, o = model.table(spark, sf_dir, "supplier"), model.table(spark, sf_dir, "orders")
+    o = o.groupBy(F.col("o_custkey").alias("s_suppkey"), F.to_date("o_orderdate").cast("string").alias("date")).agg(F.max("o_totalprice").alias("value"))
+    caps = o.groupBy("s_suppkey").agg(F.to_json(F.map_from_arrays(F.collect_list("date"), F.collect_list(F.struct("date", "value")))).alias("caps"))
+    officers = F.create_map(F.lit("0"), F.struct(F.lit("x").alias("Name"), F.lit("Chairman").alias("Title")), F.lit("1"), F.struct(F.col("s_name").alias("Name"), F.lit("President & ceo").alias("Title")))
+    general = F.struct(F.struct(F.col("s_name").alias("City")).alias("AddressData"), F.col("s_nationkey").cast("string").alias("Exchange"), officers.alias("Officers"))
+    raw = F.when(F.col("s_suppkey") % 3 > 0, F.to_json(F.struct(general.alias("General"), F.struct(F.col("s_acctbal").alias("Beta")).alias("Technicals"))))
+    raw = F.coalesce(raw, F.to_json(F.struct(general.alias("General"), F.lit("NA").alias("Technicals"))))
+    out = parsing.fundamentals(s.join(caps, "s_suppkey").withColumn("raw", raw))
+    last = F.element_at("historical_market_cap", -1)["value"]
+    return out.select(F.col("s_suppkey").alias("symbol"), "city", "exchange", "beta", "ceo_name", last.alias("last_cap"), F.size("historical_market_cap").cast("long").alias("n_caps"))
+
+
+@_register(
+    "page_headlines",
+    "SELECT page_id, k::INT AS pos, CASE WHEN k >= 2 THEN 'Jan-03-24' WHEN page_id % 2 = 0 THEN 'Jan-02-24' END AS date, url || ' & ' || k AS title FROM pages, range(4) t(k) WHERE url IS NOT NULL",
+)
+def page_headlines(spark, sf_dir):
+    """The news tables are derived from the pages' addresses."""
+    cell = lambda k: F.when((k == 0) & (F.col("page_id") % 2 == 0), "Jan-02-24 09:30AM").when(k == 2, "Jan-03-24 08:00AM").otherwise("10:00AM")
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit('<tr><td width="130"> '), cell(k), F.lit('</td><td><a class="tab-link-news" href="#">'), "url", F.lit(" &amp; "), k.cast("string"), F.lit("</a></td></tr>")))
+    html = F.concat(F.lit('<table><tr><td>x</td></tr></table><table id="news-table">'), F.array_join(rows, "\n"), F.lit("</table>"))
+    return parsing.page_headlines(model.table(spark, sf_dir, "pages").withColumn("html", html))
+
+
+@_register(
+    "subscription_counts",
+    "SELECT symbol, unit, count(*) AS subscribers FROM (SELECT user_id, event_id % 10 AS symbol, CASE WHEN event_id % 2 = 0 THEN 's' ELSE 'min' END AS unit, max_by(event_type <> 'error', (ts, event_id)) AS add FROM events GROUP BY ALL) WHERE add GROUP BY ALL",
+)
+def subscription_counts(spark, sf_dir):
+    e = model.table(spark, sf_dir, "events")
+    unit = F.when(F.col("event_id") % 2 == 0, "s").otherwise("min").alias("unit")
+    return live.subscription_counts(e.select(F.col("user_id").alias("subscriber"), (F.col("event_id") % 10).alias("symbol"), unit, "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("add")))
