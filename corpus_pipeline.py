@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; documents stay, with their length in characters brought up to date."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), short=True)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return out.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), digest.alias("kept_sha256"))
 
