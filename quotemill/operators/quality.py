@@ -47,5 +47,27 @@ def ohlcv_mismatch(stream: DataFrame, source: DataFrame, tolerance: float = 1e-6
 
 def unsorted(df: DataFrame, arrival: str = "seq") -> DataFrame:
     """``symbol, n_violations``: rows that arrive after a later time."""
+    return unsorted_rows(df, arrival).groupBy("symbol").agg(F.count("*").alias("n_violations"))
+
+
+def unsorted_rows(df: DataFrame, arrival: str = "seq") -> DataFrame:
     before = F.lag("ts").over(Window.partitionBy("symbol").orderBy(arrival))
-    return df.withColumn("_b", before).filter("_b > ts").groupBy("symbol").agg(F.count("*").alias("n_violations"))
+    return df.withColumn("_b", before).filter("_b > ts").drop("_b")
+
+
+def issues(stream: DataFrame, source: DataFrame, early: DataFrame) -> DataFrame:
+    """``symbol, issue_type``: a row for each issue of all five audits; ``early`` is the stream in which every
+    symbol has to appear."""
+    found = {
+        "DUPLICATE": stream.groupBy("symbol", "ts").count().filter("count > 1"), "MISMATCH": ohlcv_mismatch(stream, source),
+        "UNSORTED": unsorted_rows(stream), "MISSING_STREAM": missing_streams(early, source),
+    }
+    out = missing_extra(stream, source).select("symbol", "issue_type")
+    for kind, rows in found.items():
+        out = out.unionByName(rows.select("symbol", F.lit(kind).alias("issue_type")))
+    return out
+
+
+def issue_summary(rows: DataFrame) -> DataFrame:
+    """``issue_type, n, symbols``: issues and symbols that have one."""
+    return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))

@@ -409,6 +409,21 @@ def dq_summary(spark, sf_dir):
     return issues.unionByName(quality.ohlcv_mismatch(s, model.bars(spark, sf_dir)).select(F.lit("MISMATCH").alias("issue_type"))).groupBy("issue_type").agg(F.count("*").alias("n"))
 
 
+@_register(
+    "dq_issue_summary",
+    """SELECT issue_type, count(*) AS n, count(DISTINCT symbol) AS symbols FROM (
+      SELECT symbol, 'DUPLICATE' AS issue_type FROM s GROUP BY symbol, ts HAVING count(*) > 1
+      UNION ALL SELECT s.symbol, 'MISMATCH' FROM (SELECT symbol, ts, arg_min(close, seq) AS c FROM s GROUP BY 1, 2) s JOIN bars b USING (symbol, ts) WHERE abs(s.c - b.close) > 1e-6
+      UNION ALL SELECT b.symbol, 'MISSING' FROM bars b JOIN (SELECT symbol, min(ts) AS a, max(ts) AS z FROM s GROUP BY 1) e ON b.symbol = e.symbol AND b.ts BETWEEN a AND z WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = b.symbol AND s.ts = b.ts)
+      UNION ALL SELECT symbol, 'EXTRA' FROM (SELECT DISTINCT symbol, ts FROM s) s WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE s.symbol = b.symbol AND s.ts = b.ts)
+      UNION ALL SELECT symbol, 'UNSORTED' FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY seq) AS p FROM s) WHERE p > ts
+      UNION ALL SELECT DISTINCT symbol, 'MISSING_STREAM' FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')) GROUP BY 1""", *_STREAM,
+)
+def dq_issue_summary(spark, sf_dir):
+    s = model.streamed(spark, sf_dir)
+    return quality.issue_summary(quality.issues(s, model.bars(spark, sf_dir), s.filter("ts < timestamp_ntz'2024-01-01 01:00'")))
+
+
 @_register("symbols_with_stream", "SELECT DISTINCT symbol FROM s WHERE ts::DATE = DATE '2024-01-08'", *_STREAM)
 def symbols_with_stream(spark, sf_dir):
     return model.streamed(spark, sf_dir).filter(F.to_date("ts") == F.lit("2024-01-08").cast("date")).select("symbol").distinct()
