@@ -157,6 +157,18 @@ def split_adjust(spark, sf_dir):
     return _out(out, "symbol", "date", "close", "volume")
 
 
+_PART_SPLITS = "splits AS (SELECT p_partkey % (SELECT count(*) FROM supplier) + 1 AS symbol, DATE '1993-01-01' + (p_size % 25 * 100)::INTEGER AS e, p_size % 3 + 1 AS split_from, p_partkey % 4 + 1 AS split_to FROM part)"
+
+
+@_register(
+    "split_adjust_parts", "SELECT symbol, date, round(close * coalesce(f, 1), 6) AS close, volume FROM (SELECT s.symbol, s.date, any_value(close) AS close, any_value(volume) AS volume, product(split_from / split_to) AS f FROM ship s LEFT JOIN splits p ON s.symbol = p.symbol AND s.date < p.e AND p.e <= DATE '2000-12-31' GROUP BY 1, 2)",
+    *SHIPMENTS, _PART_SPLITS,
+)
+def split_adjust_parts(spark, sf_dir):
+    out = candles.split_adjust(model.shipments(spark, sf_dir), model.part_splits(spark, sf_dir), F.lit("2000-12-31").cast("date"))
+    return _out(out, "symbol", "date", "close", "volume")
+
+
 _HOLIDAYS = ["2024-01-01", "2024-01-15", "2024-02-19"]
 _CAL = [
     "days AS (SELECT unnest(range(DATE '2023-12-01', DATE '2024-04-01', INTERVAL 1 DAY))::DATE AS date)",
@@ -475,6 +487,15 @@ def splits_merge(spark, sf_dir):
     return listings.merge_splits(s.filter("execution_date < date'1996-07-01'"), s.filter("split_to > 2"))
 
 
+@_register(
+    "splits_merge_parts", "SELECT symbol, e AS execution_date, split_to::BIGINT AS split_to FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT symbol, e, split_to::BIGINT FROM n WHERE symbol IN (SELECT symbol FROM s)",
+    _PART_SPLITS, "o AS (SELECT * FROM splits WHERE e < DATE '1997-07-01')", "n AS (SELECT * FROM splits WHERE split_to > 2)", "s AS (SELECT DISTINCT n.symbol FROM n LEFT JOIN (SELECT symbol, max(e) AS k FROM o GROUP BY 1) USING (symbol) WHERE k IS NULL OR e > k)",
+)
+def splits_merge_parts(spark, sf_dir):
+    s = model.part_splits(spark, sf_dir).select("symbol", "execution_date", F.col("split_to").cast("long"))
+    return listings.merge_splits(s.filter("execution_date < date'1997-07-01'"), s.filter("split_to > 2"))
+
+
 @_register(
     "earnings_merge", "SELECT symbol, o.date FROM earn o LEFT JOIN f USING (symbol) WHERE a IS NULL OR o.date < a UNION ALL SELECT * FROM n", *_FUND,
     "n AS (SELECT DISTINCT o_custkey % 100 AS symbol, o_orderdate::DATE AS date FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderdate >= TIMESTAMP '1997-01-01')", "f AS (SELECT symbol, min(date) AS a FROM n GROUP BY 1)",

@@ -57,6 +57,13 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select((F.col("p_partkey") % 100).alias("symbol"), F.date_add(F.lit("1996-01-01").cast("date"), F.col("p_partkey").cast("int")).alias("execution_date"), F.lit(1).alias("split_from"), (F.col("p_size") % 3 + 2).alias("split_to"))
 
 
+def part_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits and reverse splits from all of part: some twenty a supplier, of which several may fall on one date."""
+    p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    date = F.date_add(F.lit("1993-01-01").cast("date"), (F.col("p_size") % 25 * 100).cast("int"))
+    return p.crossJoin(F.broadcast(n)).select((F.col("p_partkey") % F.col("n") + 1).alias("symbol"), date.alias("execution_date"), (F.col("p_size") % 3 + 1).alias("split_from"), (F.col("p_partkey") % 4 + 1).alias("split_to"))
+
+
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))

@@ -3,6 +3,7 @@
 import datetime
 
 from quotemill.operators import quality
+from quotemill.sources import model
 
 T = datetime.datetime(2024, 1, 1, 10)
 H = datetime.timedelta(hours=1)
@@ -18,3 +19,10 @@ def test_issue_summary_counts_all_audits(spark):
     stream = bars(spark, [(1, 0, 1.5, 0), (1, 2, 1.7, 1), (1, 3, 1.5, 2), (1, 4, 1.5, 3), (1, 3, 1.5, 4), (2, 0, 1.5, 0), (2, 1, 1.5, 1)])
     got = {r["issue_type"]: (r["n"], r["symbols"]) for r in quality.issue_summary(quality.issues(stream, source, stream)).collect()}
     assert got == dict.fromkeys(["DUPLICATE", "MISMATCH", "MISSING", "EXTRA", "UNSORTED", "MISSING_STREAM"], (1, 1))
+
+
+def test_every_part_gives_a_split(spark):
+    sf = "/root/testdata/sf0.01"
+    part, supplier = (model.table(spark, sf, t) for t in ("part", "supplier"))
+    got = model.part_splits(spark, sf)
+    assert got.count() == part.count() > 300 and got.select("symbol").distinct().count() == supplier.count()
