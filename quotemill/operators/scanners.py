@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.time import seconds
-from quotemill.operators.candles import session_filter
+from quotemill.operators.candles import session_filter, session_offset
 from quotemill.operators.indicators import Daily, cumulative, cumulative_daily_volume, premarket_cumulative, shift
 
 
@@ -76,9 +76,16 @@ def parabolic_scan(bars: DataFrame, daily: DataFrame, side: str, multiplier: flo
     return out.filter((F.col("signal") > multiplier) & (F.col("cum_volume") >= min_volume))
 
 
-def daily_parabolic_scan(daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_adv=None, min_adr=None, days_of_week=None) -> DataFrame:
-    """The previous session's body in units of the daily range, seen from the next date."""
-    f = Daily(daily, daily).adv(14).adr(14).atr(14).prev_day("open").prev_day("close").frame
+def next_sessions(daily: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``symbol, date``: the session after the newest one of each symbol, the target of a scan as of tomorrow."""
+    last = daily.groupBy("symbol").agg(F.max("date").alias("last"))
+    return last.join(session_offset(last.select(F.col("last").alias("date")).distinct(), calendar, 1).withColumnRenamed("date", "last"), "last").select("symbol", F.col("session").alias("date"))
+
+
+def daily_parabolic_scan(daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_adv=None, min_adr=None, days_of_week=None, target: DataFrame | None = None) -> DataFrame:
+    """The previous session's body in units of the daily range, seen from the next date; with ``next_sessions`` as
+    ``target`` also the newest session's, seen from the session to come."""
+    f = Daily(daily, daily if target is None else target).adv(14).adr(14).atr(14).prev_day("open").prev_day("close").frame
     body = F.col("prev_day_close") - F.col("prev_day_open") if side == "up" else F.col("prev_day_open") - F.col("prev_day_close")
     f = f.withColumn("signal", F.try_divide(body, F.col("daily_atr_14"))).filter(between(F.col("signal"), min_multiplier, max_multiplier))
     f = f.filter(between(F.col("adv_14"), min_adv) & between(F.col("adr_14"), min_adr))
@@ -108,11 +115,12 @@ def small_cap_scan(bars: DataFrame, daily: DataFrame, min_gap: float, shifts: li
     return out.filter((F.abs(F.col("_top") - F.col("high")) < 1e-4) & F.col("close").between(min_price, max_price) & (F.col("cumulative_daily_volume") >= min_volume) & (F.col("gap_high") >= min_gap) & F.col("triggered_alert").isNotNull()).drop("_top")
 
 
-def day2_scan(daily: DataFrame, allday: DataFrame, min_gap: float, min_retrace: float, min_price: float = 0) -> DataFrame:
+def day2_scan(daily: DataFrame, allday: DataFrame, min_gap: float, min_retrace: float, min_price: float = 0, target: DataFrame | None = None) -> DataFrame:
     """Days after a day that gained and then gave back part of its high (highs and closes of all sessions,
     the close before it of the regular session)."""
-    f = Daily(daily, daily).prev_day("close", 2)
-    a = Daily(allday, daily).prev_day("close").prev_day("high").frame.select("symbol", "date", F.col("prev_day_close").alias("c1"), F.col("prev_day_high").alias("h1"))
+    target = daily if target is None else target
+    f = Daily(daily, target).prev_day("close", 2)
+    a = Daily(allday, target).prev_day("close").prev_day("high").frame.select("symbol", "date", F.col("prev_day_close").alias("c1"), F.col("prev_day_high").alias("h1"))
     out = f.frame.join(a, ["symbol", "date"]).withColumn("retrace", F.try_divide(F.col("h1") - F.col("c1"), F.col("c1"))).withColumn("gain", F.try_divide(F.col("h1") - F.col("prev_2day_close"), F.col("prev_2day_close")))
     return out.filter((F.col("retrace") > min_retrace) & (F.col("gain") > min_gap) & (F.col("c1") >= min_price))
 

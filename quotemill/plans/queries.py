@@ -368,6 +368,38 @@ _scan(
     "SELECT symbol, date, round(rt, 6) AS retrace, round(gn, 6) AS gain FROM (SELECT f.symbol, f.date, (g.prev_day_high - g.prev_day_close) / nullif(g.prev_day_close, 0) AS rt, (g.prev_day_high - f.prev_2day_close) / nullif(f.prev_2day_close, 0) AS gn, g.prev_day_close AS c1 FROM f JOIN g USING (symbol, date)) WHERE rt > 0.1 AND gn > 0.05 AND c1 >= 0",
     TRADES, *D1, *ALLDAY, *_features("daily", "daily"), *_features("allday", "daily", "g"),
 )
+_NEXT = "SELECT symbol, (SELECT min(date) FROM {c} c WHERE is_session AND c.date > m) AS date FROM (SELECT symbol, max(date) AS m FROM {d} GROUP BY 1)"
+_SHIP_NEXT = [*SHIPMENTS, "weekdays AS (SELECT date, isodow(date) < 6 AS is_session FROM (SELECT unnest(range((SELECT min(date) FROM ship), (SELECT max(date) FROM ship) + 15, INTERVAL 1 DAY))::DATE AS date))", f"nxt AS ({_NEXT.format(c='weekdays', d='ship')})", *_features("ship", "nxt")]
+
+
+def _next_shipment(spark, daily):
+    first, last = daily.agg(F.min("date").cast("string"), F.date_add(F.max("date"), 14).cast("string")).first()
+    return scanners.next_sessions(daily, candles.trading_calendar(spark, first, last, []))
+
+
+def _asof_next(spark, sf_dir):
+    d = model.shipments(spark, sf_dir)
+    target = _next_shipment(spark, d)
+    return Daily(d, target).prev_day("close").atr(14).adv(14).frame.join(target, ["symbol", "date"], "left_semi")
+
+
+def _parabolic_next(side):
+    def run(spark, sf_dir):
+        d = model.shipments(spark, sf_dir)
+        return scanners.scan(f"daily_atr_parabolic_{side}", None, d, target=_next_shipment(spark, d), **_DP)
+
+    return run
+
+
+def _day2_next(spark, sf_dir):
+    d = model.daily(spark, sf_dir)
+    return scanners.scan("day2_gap", None, d, allday=candles.daily_bars(model.bars(spark, sf_dir)), min_gap=0.05, min_retrace=0.1, target=scanners.next_sessions(d, _calendar(spark)))
+
+
+_scan("asof_next_session", ["symbol", "date", "prev_day_close", "daily_atr_14", "adv_14"], _asof_next, "SELECT symbol, date, round(prev_day_close, 6) AS prev_day_close, round(daily_atr_14, 6) AS daily_atr_14, round(adv_14, 6) AS adv_14 FROM f JOIN nxt USING (symbol, date)", *_SHIP_NEXT)
+for _side, _s in (("up", "(prev_day_close - prev_day_open)"), ("down", "(prev_day_open - prev_day_close)")):
+    _scan(f"scan_daily_parabolic_{_side}_next", ["symbol", "date", "signal"], _parabolic_next(_side), _DP_SQL.format(s=_s), *_SHIP_NEXT)
+_scan("scan_day2_gap_next", ["symbol", "date", "retrace", "gain"], _day2_next, ORACLES["scan_day2_gap"].split("\n")[-1], TRADES, *D1, *ALLDAY, *_CAL, f"nxt AS ({_NEXT.format(c='calendar', d='daily')})", *_features("daily", "nxt"), *_features("allday", "nxt", "g"))
 _scan("first_match", _KEYS, lambda s, d: scanners.first_match(_both("atr_gap_down", **_GAPS)(s, d)), f"SELECT symbol, ts, signal FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS k FROM ({GAP_DOWN})) WHERE k = 1", *FEATURES, _VOL)
 _scan("scan_summary", ["matching_symbols", "rows_per_symbol"], lambda s, d: scanners.scan_summary(_both("atr_gap_down", **_GAPS)(s, d)), f"SELECT count(DISTINCT symbol) AS matching_symbols, round(count(*) / count(DISTINCT symbol), 6) AS rows_per_symbol FROM ({GAP_DOWN})", *FEATURES, _VOL)
 _scan("scan_day_symbols", ["symbol"], lambda s, d: _both("atr_gap_down", **_GAPS)(s, d).select("symbol").distinct(), f"SELECT DISTINCT symbol FROM ({GAP_DOWN})", *FEATURES, _VOL)

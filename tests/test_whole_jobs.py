@@ -2,7 +2,7 @@
 
 import datetime
 
-from quotemill.operators import quality
+from quotemill.operators import candles, quality, scanners
 from quotemill.sources import model
 
 T = datetime.datetime(2024, 1, 1, 10)
@@ -26,3 +26,21 @@ def test_every_part_gives_a_split(spark):
     part, supplier = (model.table(spark, sf, t) for t in ("part", "supplier"))
     got = model.part_splits(spark, sf)
     assert got.count() == part.count() > 300 and got.select("symbol").distinct().count() == supplier.count()
+
+
+def test_daily_scans_see_the_newest_session(spark):
+    def days(extra):  # Monday 1 January to Friday 19 January 2024, the last day as given
+        dates = [datetime.date(2024, 1, d) for d in range(1, 20) if datetime.date(2024, 1, d).weekday() < 5]
+        rows = [(1, d, 10.0, 10.6, 9.9, 10.5, 1000) for d in dates[:-1]] + [(1, dates[-1], *extra, 1000)]
+        return spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume long")
+
+    calendar = candles.trading_calendar(spark, "2024-01-01", "2024-01-31", [])
+    monday = datetime.date(2024, 1, 22)
+    d = days((10.0, 12.0, 10.0, 12.0))
+    target = scanners.next_sessions(d, calendar)
+    assert target.collect() == [(1, monday)]
+    hits = lambda **p: [r["date"] for r in scanners.scan("daily_atr_parabolic_up", None, d, min_multiplier=1.5, **p).collect()]
+    assert monday not in hits() and hits(target=target) == [*hits(), monday]
+    d = days((10.0, 14.0, 10.0, 11.0))
+    hits = lambda **p: [r["date"] for r in scanners.scan("day2_gap", None, d, allday=d, min_gap=0.2, min_retrace=0.2, **p).collect()]
+    assert hits() == [] and hits(target=target) == [monday]
