@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontaminate), ("packing", pack)]
 
-#: SQL expresses neither the tokens nor the edit-distance components; tests compare with brute force.
+#: SQL expresses neither the tokens nor the edit-distance components; tests compare line removal with brute force, and the stages with planted documents.
 ORACLE_SQL = None
 
 
