@@ -576,6 +576,33 @@ def score_comparison(spark, sf_dir):
     return listings.score_comparison(s, s.withColumn("score", F.col("again")))
 
 
+_LINES = "scored AS (SELECT lang AS symbol, unnest(string_split(text, chr(10))) AS title, n_chars % 101 AS score, (n_chars + doc_id) % 101 AS again, doc_id FROM documents)"
+
+
+def _scored_lines(spark, sf_dir):
+    """Every line of a text, whole, as a headline."""
+    d = model.table(spark, sf_dir, "documents")
+    again = (F.col("n_chars") + F.col("doc_id")) % 101
+    return d.select(F.col("lang").alias("symbol"), F.explode(F.split("text", "\n")).alias("title"), (F.col("n_chars") % 101).alias("score"), again.alias("again"), "doc_id")
+
+
+@_register("headline_mentions_lines", "SELECT doc_id, count(*) AS n FROM scored WHERE contains(upper(title), upper(symbol)) GROUP BY 1", _LINES)
+def headline_mentions_lines(spark, sf_dir):
+    return listings.mentions(_scored_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@_register("new_headlines_lines", "SELECT doc_id, count(*) AS n FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id % 3 = 0 AND a.symbol = b.symbol AND a.title = b.title) GROUP BY 1", _LINES)
+def new_headlines_lines(spark, sf_dir):
+    s = _scored_lines(spark, sf_dir)
+    return listings.new_headlines(s, s.filter("doc_id % 3 = 0")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@_register("score_comparison_lines", ORACLES["score_comparison"].split("\n", 1)[1], _LINES)
+def score_comparison_lines(spark, sf_dir):
+    s = _scored_lines(spark, sf_dir).filter("symbol IS NOT NULL AND title IS NOT NULL")
+    return listings.score_comparison(s, s.withColumn("score", F.col("again")))
+
+
 @_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')", *_STREAM)
 def dq_missing_streams(spark, sf_dir):
     return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 01:00'"), model.bars(spark, sf_dir))

@@ -3,6 +3,7 @@
 import datetime
 
 from quotemill.operators import candles, quality, scanners
+from quotemill.plans import queries
 from quotemill.sources import model
 
 T = datetime.datetime(2024, 1, 1, 10)
@@ -44,3 +45,14 @@ def test_daily_scans_see_the_newest_session(spark):
     d = days((10.0, 14.0, 10.0, 11.0))
     hits = lambda **p: [r["date"] for r in scanners.scan("day2_gap", None, d, allday=d, min_gap=0.2, min_retrace=0.2, **p).collect()]
     assert hits() == [] and hits(target=target) == [monday]
+
+
+def test_headlines_are_whole_lines(spark, tmp_path):
+    start = "the same opening of a text " * 5
+    texts = [start + "one EN\nshort", start + "two\nshort EN", start + "two"]
+    spark.createDataFrame([(i, t, "en", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: dict(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    # of the prefixes of 80 characters none is new, and all mention "en" in "opening"
+    assert [r[0] for r in queries.QUERIES["new_headlines"](spark, str(tmp_path)).collect()] == []
+    assert run("new_headlines_lines") == {1: 2, 2: 1}
+    assert run("headline_mentions_lines") == {0: 1, 1: 2, 2: 1}
