@@ -3,8 +3,11 @@ broadcasts and distributed connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +15,10 @@ from pyspark.sql import functions as F
 #: Characters that separate words in every contract of this package: space and \t \n \v \f \r.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
-#: Largest table, in rows of a few longs, that may be broadcast; beyond it a shuffle join runs.
-BROADCAST_ROWS = 500_000
+#: Largest table, in bytes of its values, that may be broadcast; beyond it a shuffle join runs.
+BROADCAST_BYTES = 32 << 20
+
+_TABLES: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 
 
 def words(text: Column) -> Column:
@@ -26,14 +31,21 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(name: str) -> str:
+    """A column name that no input has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine without it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     where = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(where)
     return where
@@ -44,20 +56,58 @@ def materialize(df: DataFrame) -> DataFrame:
     executor can reach, so a lost executor costs only its running tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    if _TABLES.get() is not None:
+        _TABLES.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table; one that is gone already is no error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with contextlib.suppress(Exception):  # left-over files cost disk only
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_tables(job):
+    """``job(docs, ...)`` with its DataFrame written as a table of the caller's; the tables that the job wrote on its way
+    are deleted then."""
+
+    @wraps(job)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        token = _TABLES.set([])
+        try:
+            out = job(docs, *args, **kwargs)
+            mine = _TABLES.get()
+            _TABLES.reset(token)
+            token = None
+            return materialize(out)
+        finally:
+            if token is not None:
+                mine = _TABLES.get()
+                _TABLES.reset(token)
+            for path in mine:
+                drop_table(docs.sparkSession, path)
+
+    return run
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; Spark removes the files with the DataFrame."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffle join
-    follows, which adaptive execution splits on hot keys). Counts ``df``, so give it a written table."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its values are of at most ``most`` bytes, else as it is (a shuffle join
+    follows, which adaptive execution splits on hot keys). Sums ``df`` up, so give it a written table."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f.name), f.dataType.typeName()
+        length = F.octet_length(c) if kind in ("string", "binary") else 8 * F.size(c) if kind in ("array", "map") else None
+        size = size + (F.lit(8) if length is None else 16 + F.coalesce(length, F.lit(0)))
+    total = df.agg(F.sum(size.cast("long"))).first()[0]
+    return F.broadcast(df) if (total or 0) <= most else df
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -87,21 +137,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return nodes.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def region_links(regions: DataFrame, keys: list[str], fits, confirm, stars: DataFrame | None = None) -> DataFrame:
-    """Confirmed links ``(a, b)`` between members of a region (rows ``keys, id, root`` and what ``fits``
-    compares; root is the region's smallest id), enough of them to join all that links join.
+def region_links(regions: DataFrame, keys: list[str], about: DataFrame, fits, confirm, stars: DataFrame, split=None, region: int = 0) -> DataFrame:
+    """Confirmed links ``(a, b)`` between members of a region (rows ``keys, id``), enough of them to join all that
+    links join. ``about`` has by ``id`` what ``fits`` compares; ``stars`` are the candidates of members with their roots.
 
-    Members are first linked to their root (``stars`` may hold these candidates already). Members in another
-    component than their root after that are compared with all members of other components. A group of
-    near copies, however large, thus costs one candidate a member and is never expanded into pairs."""
-    if stars is None:
-        x, r = regions.filter("id <> root").alias("x"), regions.filter("id = root").alias("r")
-        here = [F.col(f"x.{k}") == F.col(f"r.{k}") for k in keys]
-        stars = x.join(r, _all(here) & fits("x", "r")).select(F.col("r.id").alias("a"), F.col("x.id").alias("b"))
+    Stars are confirmed first. Regions whose members they all join are done; in the others, members that are not in the
+    largest component there are compared with all members of other components. A group of
+    near copies, however large, thus costs one candidate a member and is never expanded into pairs. Regions of more
+    than ``region`` members that are left are dealt out anew by ``split`` (rows ``keys, id, c`` before and after)."""
     links = confirm(stars)
     groups = checkpoint(connected_components(links))
-    rows = materialize(regions.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"))
-    rows = rows.join(rows.filter("id = root").select(*keys, F.col("c").alias("root_c")), keys)
+    rows = materialize(_mixed(regions.select(*keys, "id").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), keys))
+    if split is not None:
+        large = materialize(_mixed(split(rows.filter(F.col("many") > region).select(*keys, "id", "c")), keys))
+        rows = rows.filter(F.col("many") <= region).unionByName(large)
+    rows = materialize(rows.drop("many").join(about, "id"))
     x, y = rows.filter("c <> root_c").alias("x"), rows.alias("y")
     here = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     once = (F.col("y.c") == F.col("y.root_c")) | (F.col("x.id") < F.col("y.id"))
@@ -109,6 +159,13 @@ def region_links(regions: DataFrame, keys: list[str], fits, confirm, stars: Data
     return links.unionByName(confirm(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))))
 
 
+def _mixed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` of the regions with members in several components ``c``; with the largest of these, and the region's members."""
+    parts = rows.groupBy(*keys, "c").agg(F.count("*").alias("here"))
+    parts = parts.groupBy(*keys).agg(F.max(F.struct("here", "c"))["c"].alias("root_c"), F.sum("here").alias("many"), F.count("*").alias("parts"))
+    return rows.join(parts.filter("parts > 1").drop("parts"), keys)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

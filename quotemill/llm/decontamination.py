@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import BROADCAST_ROWS, checkpoint, small
+from quotemill.llm.common import checkpoint, fresh, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -75,7 +75,7 @@ def contained_items(
     grams = F.concat(*[_windows("w", s, _text) for s in sizes]) if sizes else F.array().cast("array<string>")
     grams = some.select("doc_id", F.explode(F.array_distinct(grams)).alias("shingle"))
     wanted = its.select("item_id", "n_shingles", F.explode("shingles").alias("shingle"))
-    hits = grams.join(small(wanted, BROADCAST_ROWS // 4), "shingle").distinct()
+    hits = grams.join(small(wanted), "shingle").distinct()
     out = hits.groupBy("doc_id", "item_id").agg(F.first("n_shingles").alias("n"), F.count("*").alias("n_shared"))
     return out.filter(F.col("n_shared") >= _needed(F.col("n"), threshold)).select(
         "doc_id", "item_id", F.col("n").cast("long").alias("n_item_shingles"), "n_shared", F.round(F.col("n_shared") / F.col("n"), 6).alias("containment")
@@ -84,5 +84,6 @@ def contained_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain an item; columns unchanged. Rows with a NULL id stay."""
-    bad = checkpoint(contained_items(docs, items, doc_id=doc_id, doc_text=doc_text).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(small(bad), F.col(doc_id).cast("long") == F.col("_bad"), "left_anti")
+    bad = fresh("bad")
+    found = checkpoint(contained_items(docs, items, doc_id=doc_id, doc_text=doc_text).select(F.col("doc_id").alias(bad)).distinct())
+    return docs.join(small(found), F.col(doc_id).cast("long") == F.col(bad), "left_anti")

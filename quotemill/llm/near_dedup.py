@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import checkpoint, connected_components, materialize, region_links, small
+from quotemill.llm.common import checkpoint, connected_components, fresh, materialize, own_tables, region_links, small
 
 TREES, LEVELS, MIN_DEPTH, REGION = 20, 6, 3, 64
 PERCENT = 80
@@ -163,6 +163,7 @@ def _centred(rows: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("root", F.coalesce("best.id", "root")).drop("best"))
 
 
+@own_tables
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id, kept``."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -171,7 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(with_id.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reps = with_id.join(first.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"])
 
-    sketches = reps.select(F.col("doc_id").alias("id"), *COMPARED)
+    sketches = materialize(reps.select(F.col("doc_id").alias("id"), *COMPARED))
     stars, leaves, rows = [], [], _forest(reps)
     for depth in range(MIN_DEPTH, LEVELS + 1):
         rows = rows.withColumn("p", F.substring("key", 1, 2 * depth))
@@ -184,12 +185,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         x, r = rows.filter("id <> root").alias("x"), roots.alias("r")
         stars.append(x.join(r, (F.col("x.t") == F.col("r.t")) & (F.col("x.p") == F.col("r.p")) & _fits("x", "r", percent)).select(F.col("r.id").alias("a"), F.col("x.id").alias("b")))
         last = depth == LEVELS
-        leaves.append(rows.filter(F.lit(True) if last else F.col("many") <= REGION).withColumn("depth", F.lit(depth)).drop("key", "many"))
+        leaves.append(rows.filter(F.lit(True) if last else F.col("many") <= REGION).select("t", F.lit(depth).alias("depth"), "p", "id"))
         if last or rows.filter(F.col("many") > REGION).isEmpty():
             break
         rows = rows.filter(F.col("many") > REGION).select("t", "key", "id", *COMPARED)
     links = region_links(
-        _union(leaves), ["t", "depth", "p"], lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
+        _union(leaves), ["t", "depth", "p"], sketches, lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
     )
     groups = checkpoint(connected_components(links))
 
@@ -209,5 +210,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group (the smallest id); columns unchanged."""
-    gone = materialize(near_duplicates(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh("gone")
+    dropped = near_duplicates(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(small(dropped), F.col(id_col).cast("long") == F.col(gone), "left_anti")

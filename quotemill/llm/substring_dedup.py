@@ -160,5 +160,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     single = docs.filter("doc IS NOT NULL").join(copies, "doc", "left_anti")
     runs = materialize(repeated_windows(single, window))
     marks = copies.select("doc", F.lit(True).alias("copy"))
-    out = docs.join(small(runs, 200_000), "doc", "left").join(marks, "doc", "left")
+    out = docs.join(small(runs), "doc", "left").join(marks, "doc", "left")
     return out.select("doc", "text", "runs", "copy").mapInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept string")
