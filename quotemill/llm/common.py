@@ -59,6 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     if _TABLES.get() is not None:
         _TABLES.get().append(path)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of earlier tables stay until the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -146,7 +147,7 @@ def region_links(regions: DataFrame, keys: list[str], about: DataFrame, fits, co
     near copies, however large, thus costs one candidate a member and is never expanded into pairs. Regions of more
     than ``region`` members that are left are dealt out anew by ``split`` (rows ``keys, id, c`` before and after)."""
     links = confirm(stars)
-    groups = checkpoint(connected_components(links))
+    groups = small(materialize(connected_components(links)))
     rows = materialize(_mixed(regions.select(*keys, "id").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), keys))
     if split is not None:
         large = materialize(_mixed(split(rows.filter(F.col("many") > region).select(*keys, "id", "c")), keys))
