@@ -78,3 +78,13 @@ def session_offset(dates: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     own = F.broadcast(calendar.select("date", "tdx", "is_session"))
     base = F.col("tdx") + n + F.when(F.col("is_session") | F.lit(n > 0), 0).otherwise(1)
     return dates.join(own, "date").withColumn("to", base).join(sessions, "to", "left").select("date", "session")
+
+
+def normalise_bars(raw: DataFrame, freq: str) -> DataFrame:
+    """Vendor bars (``symbol``, epoch milliseconds ``t`` and ``o, h, l, c, v``) as candles: the first bar of every bucket
+    that has an open."""
+    ts = F.timestamp_millis("t").cast("timestamp_ntz")
+    named = raw.select("symbol", ts.alias("ts"), *[F.col(k).cast("double").alias(n) for k, n in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)])
+    first = F.min_by(F.struct("open", "high", "low", "close", "volume"), "ts").alias("bar")
+    out = named.filter("open IS NOT NULL").groupBy("symbol", bucket(F.col("ts"), freq).alias("bucket")).agg(first)
+    return out.select("symbol", F.col("bucket").alias("ts"), "bar.*")

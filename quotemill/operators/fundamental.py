@@ -37,6 +37,14 @@ def round_robin(headlines: DataFrame, cap: int = 50) -> DataFrame:
     return headlines.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= cap)
 
 
+def round_robin_by(headlines: DataFrame, sources: list[str], cap: int = 50) -> DataFrame:
+    """As ``round_robin``, with the turns in the order of ``sources``; others come after them, by name."""
+    known = F.array_position(F.array(*map(F.lit, sources)), F.coalesce("source", F.lit("")))
+    turn = F.row_number().over(Window.partitionBy("symbol", "source").orderBy("published_at", "title"))
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("turn", F.when(known > 0, known).otherwise(len(sources) + 1), "source"))
+    return headlines.withColumn("turn", turn).withColumn("place", place).filter(F.col("place") <= cap)
+
+
 def score_thresholds(scores: DataFrame, thresholds: tuple[int, ...] = (50, 75, 90)) -> DataFrame:
     """Scored headlines of each source at or above every threshold, and how many are kept (above 50)."""
     return scores.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 50).alias("kept"), *[F.count_if(F.col("score") >= t).alias(f"ge_{t}") for t in thresholds])

@@ -70,6 +70,35 @@ def new_headlines(headlines: DataFrame, scored: DataFrame) -> DataFrame:
     return headlines.join(scored.select("symbol", "title"), ["symbol", "title"], "left_anti")
 
 
+def unseen_today(headlines: DataFrame, scored: DataFrame) -> DataFrame:
+    """Headlines whose title has not been scored for the symbol on their own day; both sides have ``published_at``."""
+    day = F.to_date("published_at").alias("day")
+    seen = scored.select("symbol", "title", day).distinct()
+    return headlines.withColumn("day", day).join(seen, ["symbol", "title", "day"], "left_anti").drop("day")
+
+
+def scored_headlines(scores: DataFrame, headlines: DataFrame, keep: int = 50) -> DataFrame:
+    """Headlines with the score of their number ``idx`` in the symbol's round, those above ``keep``."""
+    return headlines.join(scores.select("symbol", "idx", "confidence"), ["symbol", "idx"]).filter(F.col("confidence") > keep)
+
+
+def outcomes(rounds: DataFrame, scores: DataFrame) -> DataFrame:
+    """``outcome`` of every scoring round: ``fail_open`` without an answer (NULL), ``empty`` for one without scores, else ``scored``."""
+    n = scores.groupBy("symbol").agg(F.count("*").alias("n_scores"))
+    out = rounds.join(n, "symbol", "left").withColumn("n_scores", F.coalesce("n_scores", F.lit(0)))
+    return out.withColumn("outcome", F.when(F.col("response").isNull(), "fail_open").when(F.col("n_scores") == 0, "empty").otherwise("scored"))
+
+
+def news_as_of(bars: DataFrame, scored: DataFrame) -> DataFrame:
+    """Bars with ``news_confidence``, the highest score so far of the symbol's headlines of the bar's day; NULL until one is
+    known. ``bars`` has ``symbol, date, ts``, ``scored`` has ``symbol, published_at, score``."""
+    s = scored.select("symbol", F.col("published_at").alias("_at"), F.to_date("published_at").alias("date"), F.col("score").alias("_score"), F.lit(0).alias("_side"))
+    both = bars.withColumn("_at", F.col("ts")).withColumn("_side", F.lit(1)).unionByName(s, allowMissingColumns=True)
+    far = Window.partitionBy("symbol", "date").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("news_confidence", F.max("_score").over(far)).filter("_side = 1")
+    return out.select(*bars.columns, "news_confidence")
+
+
 def score_comparison(old: DataFrame, new: DataFrame, keep: int = 50) -> DataFrame:
     """Per symbol: titles that both scorings keep (a score above ``keep``), or only one."""
     sides = [df.filter(F.col("score") > keep).select("symbol", "title").distinct().withColumn(s, F.lit(True)) for df, s in ((old, "o"), (new, "n"))]

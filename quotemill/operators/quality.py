@@ -71,3 +71,20 @@ def issues(stream: DataFrame, source: DataFrame, early: DataFrame) -> DataFrame:
 def issue_summary(rows: DataFrame) -> DataFrame:
     """``issue_type, n, symbols``: issues and symbols that have one."""
     return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
+
+
+def arrival_spread(arrivals: DataFrame, seconds: int) -> DataFrame:
+    """Per bar start ``ts``: seconds from the bar's end to its first arrival, and from that to its last. Arrivals after the
+    first one of a newer bar of the day are of an older bar and ignored."""
+    first = arrivals.groupBy("ts").agg(F.min("arrived").alias("first"))
+    newer = F.min("first").over(Window.partitionBy(F.to_date("ts")).orderBy("ts").rowsBetween(1, Window.unboundedFollowing))
+    bounds = first.withColumn("until", newer)  # a row for each bar start, not for each arrival
+    kept = arrivals.join(bounds, "ts").filter("until IS NULL OR arrived < until").groupBy("ts").agg(F.min("arrived").alias("first"), F.max("arrived").alias("last"))
+    at = lambda c: F.unix_timestamp(c)
+    return kept.select("ts", (at("first") - at("ts") - seconds).alias("delay_s"), (at("last") - at("first")).alias("spread_s"))
+
+
+def delivery_latency(processed: DataFrame, seconds: int = 60) -> DataFrame:
+    """Per minute: seconds from its end until its last bar was processed, bars, and the median and 95th percentile of all."""
+    late = F.unix_timestamp("processed") - F.unix_timestamp("ts") - seconds
+    return processed.groupBy("ts").agg(F.max(late).alias("last_s"), F.count("*").alias("n"), F.percentile(late, 0.5).alias("median_s"), F.percentile(late, 0.95).alias("p95_s"))

@@ -1,16 +1,17 @@
 """Scanners: filters over daily features, then over intraday bars of the days that survive.
 
-The daily stage works on the small daily table; its survivors are joined to the bars by (symbol, date), so
-Spark prunes the intraday side with them. Parameters left at None do not filter."""
+The daily stage works on the small daily table; its survivors are joined to the bars by (symbol, date) before any running
+value of a day is computed, so only bars of surviving days reach the windows. Parameters left at None do not filter.
 
-from __future__ import annotations
+Every scanner takes the bounds of ``day_bounds``: on market cap, days since the listing, days from earnings, weekday."""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.time import seconds
+from quotemill.operators import fundamental
 from quotemill.operators.candles import session_filter, session_offset
 from quotemill.operators.indicators import Daily, cumulative, cumulative_daily_volume, premarket_cumulative, shift
 
@@ -38,22 +39,39 @@ def weekday_filter(df: DataFrame, days: list[int], col: str = "date") -> DataFra
     return df.filter(F.weekday(col).isin(days))
 
 
-def _survivors(daily: DataFrame, bars: DataFrame, features: Daily, min_adv=None, min_adr=None, max_adr=None, days_of_week=None) -> DataFrame:
+def day_bounds(
+    days: DataFrame, caps: DataFrame | None = None, earnings: DataFrame | None = None, static: DataFrame | None = None, min_market_cap=None, max_market_cap=None, include_null_market_cap: bool = False,
+    min_days_since_ipo: int | None = None, min_days_from_earnings: int | None = None, max_days_from_earnings: int | None = None, days_of_week: list[int] | None = None,
+) -> DataFrame:
+    """The days (rows with ``symbol, date``) within the bounds. An unknown market cap passes only if asked for, an unknown listing
+    date passes, and unknown earnings fail where a bound is set."""
+    names = days.columns
+    if days_of_week is not None:
+        days = weekday_filter(days, days_of_week)
+    if min_market_cap is not None or max_market_cap is not None:
+        days = market_cap_filter(fundamental.market_cap(days, caps), min_market_cap, max_market_cap, include_null_market_cap)
+    if min_days_since_ipo is not None:
+        days = ipo_filter(fundamental.days_since_ipo(days, static), min_days_since_ipo)
+    if min_days_from_earnings is not None or max_days_from_earnings is not None:
+        days = fundamental.days_from_earnings(days, earnings).filter(between(F.col("days_from_earnings"), min_days_from_earnings, max_days_from_earnings))
+    return days.select(*names)
+
+
+def _survivors(bars: DataFrame, features: Daily, min_adv=None, min_adr=None, max_adr=None, **bounds) -> DataFrame:
     """The bars of the symbol-days that pass the daily stage, with the daily features."""
     days = features.frame.select("symbol", "date", *features.names)
     if min_adv is not None:
         days = days.filter(F.col("adv_14") >= min_adv)
-    days = days.filter(between(F.col("adr_14"), min_adr, max_adr))
-    if days_of_week is not None:
-        days = weekday_filter(days, days_of_week)
-    return bars.join(days, ["symbol", "date"])
+    if min_adr is not None or max_adr is not None:
+        days = days.filter(between(F.col("adr_14"), min_adr, max_adr))
+    return bars.join(day_bounds(days, **bounds), ["symbol", "date"])
 
 
 def atr_gap_scan(bars: DataFrame, daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_volume: float = 0, start: str = "04:00", end: str = "20:00", **day) -> DataFrame:
     """Bars that gap away from the previous close by multiples of the daily range and move on in that direction."""
     col, sign = ("low", -1) if side == "down" else ("high", 1)
     f = Daily(daily, bars).adv(14).adr(14).prev_day("close").atr(14)
-    out = session_filter(_survivors(daily, cumulative_daily_volume(bars), f, **day), start, end)
+    out = session_filter(cumulative_daily_volume(_survivors(bars, f, **day)), start, end)
     out = out.withColumn("signal", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("daily_atr_14")))
     moved = F.col("close") < F.col("open") if side == "down" else F.col("close") > F.col("open")
     return out.filter((F.col("cumulative_daily_volume") >= min_volume) & between(F.abs("signal"), min_multiplier, max_multiplier) & (F.col("signal") * sign > 0) & moved)
@@ -64,9 +82,10 @@ def parabolic_scan(bars: DataFrame, daily: DataFrame, side: str, multiplier: flo
     summed over the matching bars, over the window, or over the day."""
     col, op, sign = ("low", "min", 1) if side == "down" else ("high", "max", -1)
     f = Daily(daily, bars).adv(14).adr(14).atr(14)
+    out = _survivors(bars, f, **day)
     if cum_volume_scope == "day":
-        bars = cumulative(bars, "volume", "sum", "cum_volume")
-    out = session_filter(_survivors(daily, cumulative(bars, col, op, "_extreme"), f, **day), start, end)
+        out = cumulative(out, "volume", "sum", "cum_volume")
+    out = session_filter(cumulative(out, col, op, "_extreme"), start, end)
     if cum_volume_scope == "window":
         out = cumulative(out, "volume", "sum", "cum_volume")
     out = out.filter(F.abs(F.col("_extreme") - F.col(col)) < 1e-4).drop("_extreme")
@@ -82,47 +101,47 @@ def next_sessions(daily: DataFrame, calendar: DataFrame) -> DataFrame:
     return last.join(session_offset(last.select(F.col("last").alias("date")).distinct(), calendar, 1).withColumnRenamed("date", "last"), "last").select("symbol", F.col("session").alias("date"))
 
 
-def daily_parabolic_scan(daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_adv=None, min_adr=None, days_of_week=None, target: DataFrame | None = None) -> DataFrame:
+def daily_parabolic_scan(daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_adv=None, min_adr=None, target: DataFrame | None = None, **bounds) -> DataFrame:
     """The previous session's body in units of the daily range, seen from the next date; with ``next_sessions`` as
     ``target`` also the newest session's, seen from the session to come."""
     f = Daily(daily, daily if target is None else target).adv(14).adr(14).atr(14).prev_day("open").prev_day("close").frame
     body = F.col("prev_day_close") - F.col("prev_day_open") if side == "up" else F.col("prev_day_open") - F.col("prev_day_close")
     f = f.withColumn("signal", F.try_divide(body, F.col("daily_atr_14"))).filter(between(F.col("signal"), min_multiplier, max_multiplier))
-    f = f.filter(between(F.col("adv_14"), min_adv) & between(F.col("adr_14"), min_adr))
-    return weekday_filter(f, days_of_week) if days_of_week is not None else f
+    return day_bounds(f.filter(between(F.col("adv_14"), min_adv) & between(F.col("adr_14"), min_adr)), **bounds)
 
 
 def range_gap_scan(bars: DataFrame, daily: DataFrame, side: str, n_days: int, min_atr_gap: float | None = None, min_volume: float = 0, start: str = "04:00", end: str = "20:00", **day) -> DataFrame:
     """Bars beyond the range of the n days before. The lower bound on the gap is not mirrored for ``down``."""
     col, op = ("high", "max") if side == "up" else ("low", "min")
     f = Daily(daily, bars).adv(14).adr(14).rolling(n_days, op, col).prev_day("close").atr(14)
-    out = session_filter(_survivors(daily, premarket_cumulative(bars, "volume", "sum"), f, **day), start, end)
+    out = session_filter(premarket_cumulative(_survivors(bars, f, **day), "volume", "sum"), start, end)
     out = out.withColumn("signal", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("daily_atr_14")))
     limit = F.col(f"{op}_{col}_{n_days}d")
     beyond = F.col(col) > limit if side == "up" else F.col(col) < limit
     return out.filter((F.col("premarket_total_volume") >= min_volume) & beyond & between(F.col("signal"), min_atr_gap))
 
 
-def small_cap_scan(bars: DataFrame, daily: DataFrame, min_gap: float, shifts: list[int], changes: list[float], min_price: float, max_price: float, min_volume: float = 0, start: str = "04:00", end: str = "20:00") -> DataFrame:
+def small_cap_scan(bars: DataFrame, daily: DataFrame, min_gap: float, shifts: list[int], changes: list[float], min_price: float, max_price: float, min_volume: float = 0, start: str = "04:00", end: str = "20:00", **day) -> DataFrame:
     """New highs of the day within a price range, up from the previous close, whose high rose over the low k
     bars ago by more than that shift's change; the first such shift names the alert."""
-    out = cumulative(cumulative_daily_volume(bars), "high", "max", "_top")
+    out = cumulative(cumulative_daily_volume(_survivors(bars, Daily(daily, bars).prev_day("close"), **day)), "high", "max", "_top")
     for k in shifts:
         out = shift(out, "low", k)
-    out = session_filter(Daily(daily, out).prev_day("close").join(), start, end)
+    out = session_filter(out, start, end)
     alert = [F.when(F.try_divide(F.col("high") - F.col(f"low_shift_{k}"), F.col(f"low_shift_{k}")) > c, f"change_{k}") for k, c in zip(shifts, changes, strict=True)]
     out = out.withColumn("gap_high", F.try_divide(F.col("high") - F.col("prev_day_close"), F.col("prev_day_close"))).withColumn("triggered_alert", F.coalesce(*alert))
     return out.filter((F.abs(F.col("_top") - F.col("high")) < 1e-4) & F.col("close").between(min_price, max_price) & (F.col("cumulative_daily_volume") >= min_volume) & (F.col("gap_high") >= min_gap) & F.col("triggered_alert").isNotNull()).drop("_top")
 
 
-def day2_scan(daily: DataFrame, allday: DataFrame, min_gap: float, min_retrace: float, min_price: float = 0, target: DataFrame | None = None) -> DataFrame:
+def day2_scan(daily: DataFrame, allday: DataFrame, min_gap: float, min_retrace: float, min_price: float = 0, min_adv=None, min_adr=None, target: DataFrame | None = None, **bounds) -> DataFrame:
     """Days after a day that gained and then gave back part of its high (highs and closes of all sessions,
     the close before it of the regular session)."""
     target = daily if target is None else target
-    f = Daily(daily, target).prev_day("close", 2)
+    f = Daily(daily, target).prev_day("close", 2).adv(14).adr(14)
     a = Daily(allday, target).prev_day("close").prev_day("high").frame.select("symbol", "date", F.col("prev_day_close").alias("c1"), F.col("prev_day_high").alias("h1"))
     out = f.frame.join(a, ["symbol", "date"]).withColumn("retrace", F.try_divide(F.col("h1") - F.col("c1"), F.col("c1"))).withColumn("gain", F.try_divide(F.col("h1") - F.col("prev_2day_close"), F.col("prev_2day_close")))
-    return out.filter((F.col("retrace") > min_retrace) & (F.col("gain") > min_gap) & (F.col("c1") >= min_price))
+    out = out.filter((F.col("retrace") > min_retrace) & (F.col("gain") > min_gap) & (F.col("c1") >= min_price))
+    return day_bounds(out.filter(between(F.col("adv_14"), min_adv) & between(F.col("adr_14"), min_adr)), **bounds)
 
 
 def first_match(matches: DataFrame) -> DataFrame:
@@ -140,6 +159,25 @@ def with_scan_time(matches: DataFrame, freq: str) -> DataFrame:
     return matches.withColumn("scan_time", F.date_format(F.col("ts") + F.make_dt_interval(secs=F.lit(seconds(freq))), "HH:mm"))
 
 
+def report(hits: DataFrame, daily: DataFrame, static: DataFrame, earnings: DataFrame, freq: str, ranges: tuple[int, ...] = (2, 5, 10, 20, 50, 100, 200), period: int = 14) -> DataFrame:
+    """Hits with the columns of a scan report: when the bar was complete, the symbol's static columns, days to and from
+    earnings, the day's gap, also in units of the daily range, and the close's position in the ranges of the days before.
+    All daily features are columns of one spine, which is joined once."""
+    d = Daily(daily, hits).prev_day("close").day_open().atr(period)
+    for n in ranges:
+        d = d.rolling(n, "min", "low").rolling(n, "max", "high")
+    new = d.frame.select("symbol", "date", *[c for c in d.names if c not in hits.columns])
+    out = hits.join(new, ["symbol", "date"], "left").join(static, "symbol", "left")
+    out = fundamental.days_from_earnings(fundamental.days_to_earnings(out, earnings), earnings)
+    gap = F.try_divide(F.col("day_open") - F.col("prev_day_close"), F.col("prev_day_close"))
+    out = out.withColumn("daily_gap", F.when(F.date_format("ts", "HH:mm") >= "09:30", gap))
+    out = out.withColumn(f"daily_atr_gap_{period}", F.try_divide(F.col("daily_gap") * F.col("prev_day_close"), F.col(f"daily_atr_{period}")))
+    for n in ranges:
+        low, high = F.col(f"min_low_{n}d"), F.col(f"max_high_{n}d")
+        out = out.withColumn(f"position_in_range_{n}d", F.when(high != low, (F.col("close") - low) / (high - low))).drop(f"min_low_{n}d", f"max_high_{n}d")
+    return with_scan_time(out, freq)
+
+
 SCANNERS = {
     "atr_gap_down": lambda b, d, **p: atr_gap_scan(b, d, "down", **p),
     "atr_gap_up": lambda b, d, **p: atr_gap_scan(b, d, "up", **p),
@@ -159,6 +197,3 @@ def scan(name: str, bars: DataFrame | None, daily: DataFrame, **params) -> DataF
         raise ValueError(f"unknown scanner {name!r}; known: {', '.join(SCANNERS)}")
     return SCANNERS[name](bars, daily, **params)
 
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
