@@ -7,17 +7,17 @@ their bytes, over the whole text.
 
 The network is fitted on the driver on a bounded sample: at most ``sample_docs`` labelled documents, the
 ones with the smallest hash of their id, and at most ``sample_windows`` windows of each, spread over
-the text. Weights (some tens of kilobytes, whatever the input) go to the workers with the function.
+the text; a count of the labelled documents bounds the hash first, so that about twice the sample reaches the driver at
+most, whatever the number of tasks. Weights (some tens of kilobytes, whatever the input) go to the workers with the function.
 
 Defined results: NULL texts and texts without a letter get ``und`` with score 0; if no labelled document
 can be learnt from, every document gets ``und``; NULL ids are never held out and stay; repeated rows get equal
-results; empty tables give empty results; other columns are ignored, the label only trains.
+results; a tie of two languages goes to the first by name; texts of any length are read whole, a block of windows at a
+time; empty tables give empty results; other columns are ignored, the label only trains.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,7 +29,7 @@ DIM, FILTERS = 6, 12
 SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 4
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+AT_ONCE = 1024  # windows of several documents that are classified together
 
 
 def held_out(id_col: str, modulus: int, rest: int) -> Column:
@@ -131,6 +131,9 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
     step = F.greatest(F.octet_length(text_col) / sample_windows, F.lit(WINDOW)).cast("int")
     cut = F.concat(*[F.substring(text, step * k + 1, F.lit(WINDOW)) for k in range(sample_windows)])
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.substring(cut, 1, size).alias("t"), F.col(lang_col).alias("lang"))
+    learnt = rows.count()
+    if learnt > 2 * sample_docs:
+        rows = rows.filter(F.col("h") <= int(-(2**63) + 2**64 * (2 * sample_docs / learnt)))
     sample = rows.orderBy("h", "lang").limit(sample_docs).collect()
     classes = sorted({r["lang"] for r in sample})
     if not classes:
@@ -148,22 +151,35 @@ def train(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col:
 def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", text_col: str = "text", *carry: Column) -> DataFrame:
     """Per row: ``doc_id``, the columns of ``carry``, ``lang_pred`` and ``score`` (the mean probability)."""
 
+    def mean_log_probs(data: list[bytes]) -> np.ndarray:
+        cut = [windows(x) for x in data]
+        ends = np.cumsum([len(w) for w in cut])
+        lengths = np.array([len(x) for x in data])
+        held = np.full(ends[-1], WINDOW)
+        held[ends - 1] = lengths - WINDOW * (np.diff(ends, prepend=0) - 1)
+        lp = net.log_probs(np.concatenate(cut)) * held[:, None]
+        return np.add.reduceat(lp, np.append(0, ends[:-1]), axis=0) / lengths[:, None]
+
     def run(batches):
         for b in batches:
-            lang, score = [], []
-            for text in b.column(0).to_pylist():
-                if net is None or text is None or not _LETTER.search(text):
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
+            lang, score, at, data, size = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows, [], [], 0
+
+            def settle():
+                for k, z in zip(at, mean_log_probs(data), strict=True):
+                    p = np.exp(z - z.max())
+                    lang[k], score[k] = net.classes[int(z.argmax())], float(p.max() / p.sum())
+
+            for k, text in enumerate(b.column(0).to_pylist()):
+                if net is None or text is None or not any(map(str.isalpha, text)):
                     continue
-                data = text.encode("utf-8", "surrogatepass")
-                lp = net.log_probs(windows(data))
-                n = np.full(len(lp), WINDOW)
-                n[-1] = len(data) - WINDOW * (len(lp) - 1)
-                z = (lp * n[:, None]).sum(axis=0) / n.sum()
-                p = np.exp(z - z.max())
-                lang.append(net.classes[int(z.argmax())])
-                score.append(float(p.max() / p.sum()))
+                at.append(k)
+                data.append(text.encode("utf-8", "surrogatepass"))
+                size += 1 + len(data[-1]) // WINDOW
+                if size >= AT_ONCE:
+                    settle()
+                    at, data, size = [], [], 0
+            if at:
+                settle()
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
 
     d = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *carry)

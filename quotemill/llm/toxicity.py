@@ -8,16 +8,19 @@ documents labelled clean) cancel the hits they cover. The sum of weights is divi
 of the length in words, and a logistic of its distance to the best training threshold is the score.
 
 Labels are learnt from a bounded sample: at most ``sample_docs`` labelled documents, those with the smallest
-hash of their id. Features of the sample are counted by Spark; at most ``MAX_ENTRIES`` entries are kept.
+hash of their id. Features of the sample are counted by Spark; every entry that is seen in ``MIN_DOCS`` toxic documents of
+the sample and odd enough is kept.
 
 Defined results: NULL text is empty; empty texts score like texts without a hit; labels of unknown or NULL ids and
-NULL labels are ignored; with nothing to learn every score is 0; repeated rows get equal scores; empty tables
+NULL labels are ignored; texts of any length are read whole; ties in score stay ties; with nothing to learn every score is 0; repeated rows get equal scores; empty tables
 give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quotemill.llm.quality_classifier import sample_labels
 
-SAMPLE_DOCS, MAX_ENTRIES = 8000, 2000
+SAMPLE_DOCS = 8000
 STEMS = (4, 5, 6)
 MIN_DOCS, MIN_ODDS = 4, 3.0
 CUT = 0.3
@@ -102,8 +105,12 @@ class Lexicon:
         if not len(self.automaton):
             return []
         found = [(e - n + 1, e, w) for e, (n, w) in self.automaton.iter(folded)]
-        spans = [(s, e) for s, e, w in found if w is None]
-        return [x for x in found if x[2] is not None and not any(s <= x[0] and x[1] <= e for s, e in spans)]
+        spans = sorted((s, e) for s, e, w in found if w is None)
+        if not spans:
+            return found
+        reach = list(accumulate((e for _, e in spans), max))  # the furthest end of the spans up to each
+        starts = [s for s, _ in spans]
+        return [x for x in found if x[2] is not None and not ((k := bisect_right(starts, x[0])) and x[1] <= reach[k - 1])]
 
     def raw(self, text: str | None) -> float:
         folded = fold(text)
@@ -115,6 +122,18 @@ class Lexicon:
         return np.where(raw > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
+def _word_before(folded: str, at: int) -> str:
+    while at > 0 and folded[at - 1] == " ":
+        at -= 1
+    return folded[folded.rfind(" ", 0, at) + 1 : at]
+
+
+def _word_after(folded: str, at: int) -> str:
+    while at < len(folded) and folded[at] == " ":
+        at += 1
+    return folded[at : max(at, folded.find(" ", at))]
+
+
 def _minimal(found: dict[str, float]) -> dict[str, float]:
     """Entries without those that a shorter entry already matches."""
     return {s: w for s, w in found.items() if not any(s[:k] in found for k in range(2, len(s)))}
@@ -140,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
         return Lexicon({})
     base = math.log((total["pos"] + 0.5) / (total["neg"] + 0.5))
     top = counts.filter((F.col("stem") != "") & (F.col("pos") >= MIN_DOCS)).withColumn("w", F.round(odds - base, 6)).filter(F.col("w") >= MIN_ODDS)
-    top = top.orderBy(F.desc(F.col("w") * F.sqrt("pos")), "stem").limit(MAX_ENTRIES).collect()
+    top = top.orderBy("stem").collect()  # stems of at most sample_docs documents
     lexicon = Lexicon(_minimal({r["stem"]: r["w"] for r in top}))
 
     def second(batches):
@@ -151,8 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "t
                 near = set()
                 for s, e, _ in lexicon.hits(folded):
                     end = folded.find(" ", e)
-                    word, before, after = folded[s:end].strip(), folded[max(0, s - 40) : s].split(), folded[end : end + 40].split()
-                    near.update(" ".join(x) for x in ([*before[-1:], word], [word, *after[:1]]) if len(x) == 2)
+                    word, before, after = folded[s:end].strip(), _word_before(folded, s), _word_after(folded, end)
+                    near.update(" ".join(x) for x in ((before, word), (word, after)) if all(x))
                 phrases.append(sorted(near))
                 raws.append(lexicon.raw(text))
                 ys.append(y)
