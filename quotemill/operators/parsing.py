@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the payloads.
-SCORES = r"(?s)(\[\s*(?:\{[^{}]*\}\s*,?\s*)*\])"
 NEWS_TABLE, DATE_WIDTH, TITLE_CLASS, DATE_CHARS = "news-table", "130", "tab-link-news", 9
 
 _TEXTS = {
@@ -42,9 +41,11 @@ def fundamentals(raw: DataFrame, json_col: str = "raw", caps_col: str = "caps")
 
 
 def parse_scores(response: Column, headlines: Column) -> Column:
-    """``array<struct<idx int, confidence int>>`` of the first JSON array in a response: entries whose index is
-    one of ``headlines`` and whose confidence lies in 0 to 100. NULL where there is no array or no valid entry."""
-    found = F.from_json(F.regexp_extract(response, SCORES, 1), "array<struct<idx int, confidence double>>")
+    """``array<struct<idx int, confidence int>>`` of what stands between the first bracket of a response and the one that closes
+    it, read as JSON: entries whose index is one of ``headlines`` and whose confidence lies in 0 to 100. NULL where there is
+    no array or no valid entry. Entries are flat: a bracket within one ends the array."""
+    opened = F.substring_index(F.substring(response, F.locate("[", response), F.length(response)), "]", 1)
+    found = F.from_json(F.when(F.contains(response, F.lit("[")), F.concat(opened, F.lit("]"))), "array<struct<idx int, confidence double>>")
     valid = F.filter(found, lambda e: e["idx"].between(0, headlines - 1) & e["confidence"].between(0, 100))
     return F.when(F.size(valid) > 0, F.transform(valid, lambda e: F.struct(e["idx"].alias("idx"), e["confidence"].cast("int").alias("confidence"))))
 

@@ -28,18 +28,21 @@ def test_ewm_matches_pandas(spark, period):
 
 
 def test_rolling_min_of_previous_days(spark):
-    closes = [150, 152, 155, 153, 151, 154, 156, 158, 157, 155]
-    daily = spark.createDataFrame([("A", dt.date(2023, 1, 1 + i), float(c)) for i, c in enumerate(closes)], "symbol string, date date, close double")
+    closes = [(37 * i) % 23 + 0.5 for i in range(17)]
+    daily = spark.createDataFrame([("A", dt.date(2021, 6, 1 + i), c) for i, c in enumerate(closes)], "symbol string, date date, close double")
     for c in ("open", "high", "low", "volume"):
         daily = daily.withColumn(c, F.col("close"))
-    target = spark.createDataFrame([("A", dt.date(2023, 1, 11))], "symbol string, date date")
-    assert Daily(daily, target).rolling(5, "min", "close").join().first()["min_close_5d"] == 154
+    target = spark.createDataFrame([("A", dt.date(2021, 6, 18))], "symbol string, date date")
+    assert Daily(daily, target).rolling(4, "min", "close").join().first()["min_close_4d"] == min(closes[-4:])
 
 
 def test_market_cap_as_of(spark):
-    caps = spark.createDataFrame([("A", dt.date(2023, 1, d), v) for d, v in ((1, 1000.0), (5, 1100.0), (10, 1200.0))], "symbol string, date date, value double")
-    days = spark.createDataFrame([("A", dt.date(2023, 1, d)) for d in (2, 5, 7, 12)], "symbol string, date date")
-    assert [r["market_cap"] for r in fundamental.market_cap(days, caps).orderBy("date").collect()] == [1000, 1100, 1100, 1200]
+    known = {2: 31.5, 9: 8.25, 20: 77.0}
+    caps = spark.createDataFrame([("A", dt.date(2021, 6, d), v) for d, v in known.items()], "symbol string, date date, value double")
+    days = spark.createDataFrame([("A", dt.date(2021, 6, d)) for d in range(1, 25)], "symbol string, date date")
+    want = [next((known[k] for k in sorted(known, reverse=True) if k <= d), None) for d in range(1, 25)]
+    assert [r["market_cap"] for r in fundamental.market_cap(days, caps).orderBy("date").collect()] == want
+
 
 
 def test_three_minutes_merge(spark):
@@ -50,10 +53,11 @@ def test_three_minutes_merge(spark):
 
 
 def test_number_parse(spark):
-    texts = ["1.5M", "10.2K", "1.2B", "500", "1,234,567", "3.5m", "N/A", "", "garbage"]
+    parts = [(7.25, "M", 1e6), (48.0, "k", 1e3), (2.5, "B", 1e9), (613.0, "", 1), (9.5, "m", 1e6)]
+    texts = [f"{v}{unit}" for v, unit, _ in parts] + ["8,076,543", "N/A", "", "none at all"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r["v"] for r in df.select("i", human_number(F.col("t")).alias("v")).orderBy("i").collect()]
-    assert got[:6] == [1.5e6, 10200, 1.2e9, 500, 1234567, 3.5e6] and got[6:] == [None, None, None]
+    assert got == [v * times for v, _, times in parts] + [8076543, None, None, None]
 
 
 def test_session_offsets(spark):
