@@ -48,6 +48,23 @@ def partition_key(ts: Column, freq: str) -> Column:
     return F.date_format(ts, "yyyy-MM") if unit == "h" else F.date_format(ts, "yyyy")
 
 
+def key_range(key: Column, freq: str) -> tuple[Column, Column]:
+    """First and last date of a storage partition."""
+    unit = re.sub(r"\d", "", freq)
+    if unit in ("s", "min"):
+        first = F.to_date(key, "yyyy-MM-dd")
+        return first, F.date_add(first, 6)
+    if unit == "h":
+        first = F.to_date(F.concat(key, F.lit("-01")), "yyyy-MM-dd")
+        return first, F.last_day(first)
+    return F.make_date(key.cast("int"), F.lit(1), F.lit(1)), F.make_date(key.cast("int"), F.lit(12), F.lit(31))
+
+
+def covering_range(first: Column, last: Column, freq: str) -> tuple[Column, Column]:
+    """First and last date of the partitions that hold the dates from ``first`` to ``last``."""
+    return key_range(partition_key(first, freq), freq)[0], key_range(partition_key(last, freq), freq)[1]
+
+
 def session(ts: Column) -> Column:
     """``pre`` before 09:30, ``regular`` before 16:00, ``post`` after."""
     t = time_of_day(ts)

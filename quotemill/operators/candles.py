@@ -80,6 +80,23 @@ def session_offset(dates: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     return dates.join(own, "date").withColumn("to", base).join(sessions, "to", "left").select("date", "session")
 
 
+def market_open(df: DataFrame, calendar: DataFrame, ts: str = "ts") -> DataFrame:
+    """``is_open``: a session day of the calendar, from 04:00 up to 20:00; days outside of the calendar are closed."""
+    days = F.broadcast(calendar.select(F.col("date").alias("_day"), F.col("is_session").alias("_open")))  # one row a day
+    out = df.join(days, F.to_date(ts) == F.col("_day"), "left")
+    t = time_of_day(F.col(ts))
+    return out.withColumn("is_open", F.coalesce(F.col("_open"), F.lit(False)) & (t >= clock("04:00")) & (t < clock("20:00"))).drop("_day", "_open")
+
+
+def next_time(df: DataFrame, calendar: DataFrame, at: str, ts: str = "ts") -> DataFrame:
+    """``next_at``: the next session's time ``at`` (HH:MM) after ``ts``, on its own day if that is a session and the time still to come."""
+    following = session_offset(df.select(F.to_date(ts).alias("date")).distinct(), calendar, 1)
+    days = F.broadcast(calendar.join(following, "date").select(F.col("date").alias("_day"), "is_session", "session"))  # one row a day
+    day = F.when(F.col("is_session") & (time_of_day(F.col(ts)) < clock(at)), F.to_date(ts)).otherwise(F.col("session"))
+    out = df.join(days, F.to_date(ts) == F.col("_day"), "left")
+    return out.withColumn("next_at", day.cast("timestamp_ntz") + F.make_dt_interval(secs=F.lit(clock(at)))).drop("_day", "is_session", "session")
+
+
 def normalise_bars(raw: DataFrame, freq: str) -> DataFrame:
     """Vendor bars (``symbol``, epoch milliseconds ``t`` and ``o, h, l, c, v``) as candles: the first bar of every bucket
     that has an open."""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.time import clock, time_of_day
 from quotemill.operators.blocks import ewm_mean, spine
+from quotemill.operators.candles import daily_bars, session_offset
 
 NAMES = {"min": "lowest", "max": "highest", "sum": "total"}
 OPEN = clock("09:30")
@@ -39,10 +40,11 @@ def true_range(before: Column) -> Column:
     return F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def atr(df: DataFrame, period: int) -> DataFrame:
-    """Average true range over the bars of a symbol."""
+def atr(df: DataFrame, period: int, freq: str = "1min") -> DataFrame:
+    """Average true range over the bars of a symbol; bars of another frequency than 1min have it in the column's name."""
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    return ewm_mean(df.withColumn("_tr", true_range(before)), F.col("_tr"), period, f"atr_{period}", ["symbol"], ["ts"]).drop("_tr")
+    name = f"atr_{period}" if freq == "1min" else f"atr_{period}_{freq}"
+    return ewm_mean(df.withColumn("_tr", true_range(before)), F.col("_tr"), period, name, ["symbol"], ["ts"]).drop("_tr")
 
 
 def shift(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -54,9 +56,12 @@ class Daily:
     """Features of the spine, collected and joined to a target once.
 
     >>> Daily(daily, bars).prev_day("close").adv(14).join()
+
+    ``anchor`` is the first date that counts; None takes all history.
     """
 
-    def __init__(self, daily: DataFrame, target: DataFrame):
+    def __init__(self, daily: DataFrame, target: DataFrame, anchor=None):
+        daily = daily if anchor is None else daily.filter(F.col("date") >= F.lit(anchor))
         self.target, self.frame, self.names = target, spine(daily, target), []
         self.order = Window.partitionBy("symbol").orderBy("date")
 
@@ -95,6 +100,13 @@ class Daily:
         return self.target.join(self.frame.select("symbol", "date", *self.names), ["symbol", "date"], "left")
 
 
+def prev_session(df: DataFrame, daily: DataFrame, col: str, calendar: DataFrame, n: int = 1) -> DataFrame:
+    """As ``prev_day``, of exactly the n-th session before in the calendar; NULL if the symbol has no bar there."""
+    back = F.broadcast(session_offset(df.select("date").distinct(), calendar, -n))  # one row a date
+    days = daily.select("symbol", F.col("date").alias("session"), F.col(col).alias(f"prev_{'' if n == 1 else n}day_{col}"))
+    return df.join(back, "date", "left").join(days, ["symbol", "session"], "left").drop("session")
+
+
 def gap(df: DataFrame, daily: DataFrame, col: str) -> DataFrame:
     """(value - previous close) / previous close."""
     df = Daily(daily, df).prev_day("close").join()
@@ -133,7 +145,5 @@ def position_in_range(df: DataFrame, daily: DataFrame, n: int) -> DataFrame:
 
 def prev_allday(df: DataFrame, bars: DataFrame, col: str) -> DataFrame:
     """Previous day's value over all sessions."""
-    from quotemill.operators.candles import daily_bars
-
     days = Daily(daily_bars(bars), df).prev_day(col)
     return days.join().withColumnRenamed(f"prev_day_{col}", f"prev_allday_{col}")

@@ -16,6 +16,11 @@ def universe(listings: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
     return listings.filter(F.col("type").isin(*types)).select("symbol").distinct()
 
 
+def active_by_exchange(listings: DataFrame, exchange: str) -> DataFrame:
+    """Distinct active symbols of one exchange."""
+    return listings.filter(F.col("active") & (F.col("exchange") == exchange)).select("symbol").distinct()
+
+
 def slice_ranges(ranges: DataFrame, days: int) -> DataFrame:
     """``symbol, first, last`` cut into windows of at most ``days`` days, a row for each request."""
     starts = F.explode(F.sequence("first", "last", F.make_dt_interval(days=F.lit(days)))).alias("start")
@@ -105,3 +110,21 @@ def score_comparison(old: DataFrame, new: DataFrame, keep: int = 50) -> DataFram
     both = sides[0].join(sides[1], ["symbol", "title"], "full")
     one = [F.count_if(F.col("n").isNull()).alias("only_old"), F.count_if(F.col("o").isNull()).alias("only_new")]
     return both.groupBy("symbol").agg(*one, F.count_if(F.col("o") & F.col("n")).alias("both"))
+
+
+def score_changes(old: DataFrame, new: DataFrame, keep: int = 50) -> DataFrame:
+    """``symbol, title, old_score, new_score, change``: the titles that only one scoring keeps, a missing score as -1."""
+    sides = [df.groupBy("symbol", "title").agg(F.max("score").alias(s)) for df, s in ((old, "old_score"), (new, "new_score"))]
+    both = sides[0].join(sides[1], ["symbol", "title"], "full").na.fill(-1, ["old_score", "new_score"])
+    was, now = F.col("old_score") > keep, F.col("new_score") > keep
+    return both.filter(was != now).withColumn("change", F.when(was, "only_old").otherwise("only_new"))
+
+
+def score_totals(old: DataFrame, new: DataFrame, keep: int = 50) -> DataFrame:
+    """One row: kept titles of either scoring, their symmetric difference, and the symbols that differ. Symbols that
+    only one side has scored are left out."""
+    known = old.select("symbol").distinct().join(new.select("symbol").distinct(), "symbol")
+    c = score_comparison(old, new, keep).join(known, "symbol", "left_semi")
+    differ = F.col("only_old") + F.col("only_new")
+    kept = [F.coalesce(F.sum(F.col(s) + F.col("both")), F.lit(0)).alias(n) for s, n in (("only_old", "old_kept"), ("only_new", "new_kept"))]
+    return c.agg(*kept, F.coalesce(F.sum(differ), F.lit(0)).alias("symmetric_difference"), F.count_if(differ > 0).alias("symbols_changed"))

@@ -12,6 +12,22 @@ def missing_streams(stream: DataFrame, source: DataFrame) -> DataFrame:
     return source.select("symbol").distinct().join(stream.select("symbol").distinct(), "symbol", "left_anti")
 
 
+def source_issues(stream: DataFrame, source: DataFrame, wanted: DataFrame, unreadable_stream: DataFrame | None = None, unreadable_source: DataFrame | None = None) -> DataFrame:
+    """``symbol, issue_type`` of the ``wanted`` symbols whose bars could not be compared: no streamed bars, no source bars in the
+    streamed range (of any time without streamed ones), or rows that could not be read (the second result of ``storage.read_bars``)."""
+    present = stream.select("symbol").distinct()
+    usable = in_stream_range(stream, source).select("symbol").union(source.join(present, "symbol", "left_anti").select("symbol")).distinct()
+    kinds = {"MISSING_REALTIME_DATA": wanted.join(present, "symbol", "left_anti"), "EMPTY_SOURCE_DATA": wanted.join(usable, "symbol", "left_anti")}
+    for kind, rows in (("ERROR_READING_REALTIME", unreadable_stream), ("ERROR_READING_SOURCE", unreadable_source)):
+        if rows is not None:
+            kinds[kind] = wanted.join(rows.select("symbol").distinct(), "symbol", "left_semi")
+    parts = [df.select("symbol", F.lit(kind).alias("issue_type")).distinct() for kind, df in kinds.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def in_stream_range(stream: DataFrame, source: DataFrame) -> DataFrame:
     """Source rows between the first and last streamed time of their symbol."""
     ends = stream.groupBy("symbol").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
@@ -73,6 +89,17 @@ def issue_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
 
 
+def duplicate_times(df: DataFrame) -> DataFrame:
+    """``symbol, ts, n``: the repeated times themselves."""
+    return df.groupBy("symbol", "ts").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def issue_details(rows: DataFrame, keep: int = 20) -> DataFrame:
+    """The first ``keep`` issues of each symbol and type in the order of ``ts``, for a report that is to be read."""
+    order = Window.partitionBy("symbol", "issue_type").orderBy("ts")
+    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= keep)
+
+
 def arrival_spread(arrivals: DataFrame, seconds: int) -> DataFrame:
     """Per bar start ``ts``: seconds from the bar's end to its first arrival, and from that to its last. Arrivals after the
     first one of a newer bar of the day are of an older bar and ignored."""

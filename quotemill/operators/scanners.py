@@ -57,30 +57,74 @@ def day_bounds(
     return days.select(*names)
 
 
-def _survivors(bars: DataFrame, features: Daily, min_adv=None, min_adr=None, max_adr=None, **bounds) -> DataFrame:
-    """The bars of the symbol-days that pass the daily stage, with the daily features."""
+def passed(rule: Column) -> Column:
+    """A rule as a flag that is never NULL."""
+    return F.coalesce(rule, F.lit(False))
+
+
+def _gap_of(col: str) -> Column:
+    return F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("daily_atr_14"))
+
+
+def atr_gap_rule(side: str, min_multiplier: float, max_multiplier: float | None = None, min_volume: float = 0) -> tuple[Column, Column]:
+    """``signal, rule`` on bars with the day's volume, previous close and daily range; batch and stream share it."""
+    col, sign = ("low", -1) if side == "down" else ("high", 1)
+    signal, moved = _gap_of(col), F.col("close") < F.col("open") if side == "down" else F.col("close") > F.col("open")
+    return signal, (F.col("cumulative_daily_volume") >= min_volume) & between(F.abs(signal), min_multiplier, max_multiplier) & (signal * sign > 0) & moved
+
+
+def parabolic_rule(side: str, multiplier: float, min_volume: float = 0, volume: str = "cum_volume") -> tuple[Column, Column]:
+    """``signal, rule`` on bars at an extreme of the day, with the volume up to them."""
+    signal = F.try_divide((F.col("open") - F.col("close")) * (1 if side == "down" else -1), F.col("daily_atr_14"))
+    return signal, (signal > multiplier) & (F.col(volume) >= min_volume)
+
+
+def range_gap_rule(side: str, n_days: int, min_atr_gap: float | None = None, min_volume: float = 0) -> tuple[Column, Column]:
+    """``signal, rule`` on bars with the premarket volume and the extreme of the n days before."""
+    col, op = ("high", "max") if side == "up" else ("low", "min")
+    signal, limit = _gap_of(col), F.col(f"{op}_{col}_{n_days}d")
+    beyond = F.col(col) > limit if side == "up" else F.col(col) < limit
+    return signal, (F.col("premarket_total_volume") >= min_volume) & beyond & between(signal, min_atr_gap)
+
+
+def small_cap_rule(min_gap: float, shifts: list[int], changes: list[float], min_price: float, max_price: float, min_volume: float = 0) -> tuple[Column, Column, Column]:
+    """``gap_high, triggered_alert, rule`` on bars at the day's high, with the lows of k bars ago."""
+    alert = F.coalesce(*[F.when(F.try_divide(F.col("high") - F.col(f"low_shift_{k}"), F.col(f"low_shift_{k}")) > c, f"change_{k}") for k, c in zip(shifts, changes, strict=True)])
+    gap = F.try_divide(F.col("high") - F.col("prev_day_close"), F.col("prev_day_close"))
+    return gap, alert, F.col("close").between(min_price, max_price) & (F.col("cumulative_daily_volume") >= min_volume) & (gap >= min_gap) & alert.isNotNull()
+
+
+def at_extreme(col: str, extreme: str) -> Column:
+    return F.abs(F.col(extreme) - F.col(col)) < 1e-4
+
+
+def surviving_days(features: Daily, min_adv=None, min_adr=None, max_adr=None, **bounds) -> DataFrame:
+    """The symbol-days that pass the daily stage, with the daily features."""
     days = features.frame.select("symbol", "date", *features.names)
     if min_adv is not None:
         days = days.filter(F.col("adv_14") >= min_adv)
     if min_adr is not None or max_adr is not None:
         days = days.filter(between(F.col("adr_14"), min_adr, max_adr))
-    return bars.join(day_bounds(days, **bounds), ["symbol", "date"])
+    return day_bounds(days, **bounds)
+
+
+def _survivors(bars: DataFrame, features: Daily, **day) -> DataFrame:
+    """The bars of the surviving days, with the daily features."""
+    return bars.join(surviving_days(features, **day), ["symbol", "date"])
 
 
 def atr_gap_scan(bars: DataFrame, daily: DataFrame, side: str, min_multiplier: float, max_multiplier: float | None = None, min_volume: float = 0, start: str = "04:00", end: str = "20:00", **day) -> DataFrame:
     """Bars that gap away from the previous close by multiples of the daily range and move on in that direction."""
-    col, sign = ("low", -1) if side == "down" else ("high", 1)
     f = Daily(daily, bars).adv(14).adr(14).prev_day("close").atr(14)
     out = session_filter(cumulative_daily_volume(_survivors(bars, f, **day)), start, end)
-    out = out.withColumn("signal", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("daily_atr_14")))
-    moved = F.col("close") < F.col("open") if side == "down" else F.col("close") > F.col("open")
-    return out.filter((F.col("cumulative_daily_volume") >= min_volume) & between(F.abs("signal"), min_multiplier, max_multiplier) & (F.col("signal") * sign > 0) & moved)
+    signal, rule = atr_gap_rule(side, min_multiplier, max_multiplier, min_volume)
+    return out.withColumn("signal", signal).filter(rule)
 
 
 def parabolic_scan(bars: DataFrame, daily: DataFrame, side: str, multiplier: float, min_volume: float = 0, start: str = "04:00", end: str = "20:00", cum_volume_scope: str = "matched", **day) -> DataFrame:
     """Bars in the window that make a new extreme of the day by a large body. ``cum_volume_scope``: volume
     summed over the matching bars, over the window, or over the day."""
-    col, op, sign = ("low", "min", 1) if side == "down" else ("high", "max", -1)
+    col, op = ("low", "min") if side == "down" else ("high", "max")
     f = Daily(daily, bars).adv(14).adr(14).atr(14)
     out = _survivors(bars, f, **day)
     if cum_volume_scope == "day":
@@ -88,11 +132,11 @@ def parabolic_scan(bars: DataFrame, daily: DataFrame, side: str, multiplier: flo
     out = session_filter(cumulative(out, col, op, "_extreme"), start, end)
     if cum_volume_scope == "window":
         out = cumulative(out, "volume", "sum", "cum_volume")
-    out = out.filter(F.abs(F.col("_extreme") - F.col(col)) < 1e-4).drop("_extreme")
+    out = out.filter(at_extreme(col, "_extreme")).drop("_extreme")
     if cum_volume_scope == "matched":
         out = cumulative(out, "volume", "sum", "cum_volume")
-    out = out.withColumn("signal", F.try_divide((F.col("open") - F.col("close")) * sign, F.col("daily_atr_14")))
-    return out.filter((F.col("signal") > multiplier) & (F.col("cum_volume") >= min_volume))
+    signal, rule = parabolic_rule(side, multiplier, min_volume)
+    return out.withColumn("signal", signal).filter(rule)
 
 
 def next_sessions(daily: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -115,10 +159,8 @@ def range_gap_scan(bars: DataFrame, daily: DataFrame, side: str, n_days: int, mi
     col, op = ("high", "max") if side == "up" else ("low", "min")
     f = Daily(daily, bars).adv(14).adr(14).rolling(n_days, op, col).prev_day("close").atr(14)
     out = session_filter(premarket_cumulative(_survivors(bars, f, **day), "volume", "sum"), start, end)
-    out = out.withColumn("signal", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("daily_atr_14")))
-    limit = F.col(f"{op}_{col}_{n_days}d")
-    beyond = F.col(col) > limit if side == "up" else F.col(col) < limit
-    return out.filter((F.col("premarket_total_volume") >= min_volume) & beyond & between(F.col("signal"), min_atr_gap))
+    signal, rule = range_gap_rule(side, n_days, min_atr_gap, min_volume)
+    return out.withColumn("signal", signal).filter(rule)
 
 
 def small_cap_scan(bars: DataFrame, daily: DataFrame, min_gap: float, shifts: list[int], changes: list[float], min_price: float, max_price: float, min_volume: float = 0, start: str = "04:00", end: str = "20:00", **day) -> DataFrame:
@@ -128,9 +170,8 @@ def small_cap_scan(bars: DataFrame, daily: DataFrame, min_gap: float, shifts: li
     for k in shifts:
         out = shift(out, "low", k)
     out = session_filter(out, start, end)
-    alert = [F.when(F.try_divide(F.col("high") - F.col(f"low_shift_{k}"), F.col(f"low_shift_{k}")) > c, f"change_{k}") for k, c in zip(shifts, changes, strict=True)]
-    out = out.withColumn("gap_high", F.try_divide(F.col("high") - F.col("prev_day_close"), F.col("prev_day_close"))).withColumn("triggered_alert", F.coalesce(*alert))
-    return out.filter((F.abs(F.col("_top") - F.col("high")) < 1e-4) & F.col("close").between(min_price, max_price) & (F.col("cumulative_daily_volume") >= min_volume) & (F.col("gap_high") >= min_gap) & F.col("triggered_alert").isNotNull()).drop("_top")
+    gap, alert, rule = small_cap_rule(min_gap, shifts, changes, min_price, max_price, min_volume)
+    return out.filter(at_extreme("high", "_top")).withColumn("gap_high", gap).withColumn("triggered_alert", alert).filter(rule).drop("_top")
 
 
 def day2_scan(daily: DataFrame, allday: DataFrame, min_gap: float, min_retrace: float, min_price: float = 0, min_adv=None, min_adr=None, target: DataFrame | None = None, **bounds) -> DataFrame:

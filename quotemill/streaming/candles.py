@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LATE = "20 seconds"
+UNITS = {"A": "s", "AM": "min"}  # fixed values: the feed's kinds of aggregates
 
 
 def trade_stream(spark, sf_dir: str, schema) -> DataFrame:
@@ -15,6 +16,13 @@ def trade_stream(spark, sf_dir: str, schema) -> DataFrame:
     return e.select((F.col("user_id") % 10).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"), size.alias("size"))
 
 
+def candle_events(events: DataFrame) -> DataFrame:
+    """Vendor events as candles with ``unit``: those with a start time (``start_ms``, epoch milliseconds) and of a known kind."""
+    unit = F.create_map(*[F.lit(v) for pair in UNITS.items() for v in pair])[F.col("event_type")]
+    named = events.withColumn("unit", unit).filter("unit IS NOT NULL AND start_ms IS NOT NULL")
+    return named.select("symbol", F.timestamp_millis("start_ms").alias("ts"), "open", "high", "low", "close", "volume", "unit")
+
+
 def rebucket(trades: DataFrame, freq: str, late: str = LATE) -> DataFrame:
     """Tumbling bars, emitted once the watermark has passed the bucket's end; later rows are dropped.
     ``freq`` in Spark's words (``15 minutes``)."""
@@ -26,8 +34,9 @@ def rebucket(trades: DataFrame, freq: str, late: str = LATE) -> DataFrame:
 
 
 def write_candles(bars: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Append bars to a table partitioned by date."""
-    out = bars.withColumn("date", F.to_date("ts")).writeStream.outputMode("append").partitionBy("date")
+    """Append bars to a table partitioned by date, and by frequency before it if they have ``freq``."""
+    by = [c for c in ("freq",) if c in bars.columns] + ["date"]
+    out = bars.withColumn("date", F.to_date("ts")).writeStream.outputMode("append").partitionBy(*by)
     return out.option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 

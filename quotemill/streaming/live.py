@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STATE = "day string, ts timestamp, open double, high double, low double, volume long"
@@ -69,6 +69,27 @@ def subscribed(bars: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return bars.join(subscriptions.select("subscription_id", "symbol", "freq").distinct(), ["symbol", "freq"])
 
 
+def subscribed_values(bars: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """As ``subscribed``, for bars with indicators; ``values`` maps the ``indicators`` (array of columns) each subscription asks for."""
+    fixed = {"symbol", "freq", "ts", "date"}
+    known = [c for c, kind in bars.dtypes if c not in fixed and kind in ("double", "float", "bigint", "int")]
+    every = F.create_map(*[v for c in known for v in (F.lit(c), F.col(c).cast("double"))])
+    asked = subscriptions.groupBy("subscription_id", "symbol", "freq").agg(F.array_distinct(F.flatten(F.collect_list("indicators"))).alias("indicators"))
+    out = bars.join(asked, ["symbol", "freq"])
+    return out.select("subscription_id", "symbol", "freq", "ts", F.map_filter(every, lambda k, v: F.array_contains("indicators", k)).alias("values"))
+
+
+def subscription_triggers(changes: DataFrame) -> DataFrame:
+    """``symbol, unit, ts, seq, trigger``: the changes with which a symbol and unit gets its first subscriber (``first``)
+    or loses its last one (``last``). An addition of a present subscriber and a removal of an absent one change nothing."""
+    own = Window.partitionBy("subscriber", "symbol", "unit").orderBy("ts", "seq")
+    step = F.col("add").cast("int") - F.coalesce(F.lag("add").over(own).cast("int"), F.lit(0))
+    moved = changes.withColumn("_step", step).filter("_step <> 0")
+    total = F.sum("_step").over(Window.partitionBy("symbol", "unit").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    out = moved.withColumn("_n", total).withColumn("trigger", F.when((F.col("_n") == 1) & (F.col("_step") == 1), "first").when(F.col("_n") == 0, "last"))
+    return out.filter("trigger IS NOT NULL").select("symbol", "unit", "ts", "seq", "trigger")
+
+
 def subscription_counts(changes: DataFrame) -> DataFrame:
     """``symbol, unit, subscribers``: of ``subscriber, symbol, unit, ts, seq, add``, the subscribers whose last
     change is an addition. Symbols without one do not appear."""
