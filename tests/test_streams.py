@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.operators import candles, indicators, registry
+from quotemill.operators import candles, indicators, quality, registry
 from quotemill.plans.streams import ORACLES, q
 from quotemill.sources import model, storage
 from quotemill.streaming import buckets, running
@@ -147,3 +147,12 @@ def test_exported_calculations_are_in_utc(spark, tmp_path):
     df = spark.sql("SELECT 1 AS symbol, timestamp_ntz'2024-01-02 09:30:00' AS ts UNION ALL SELECT 1, timestamp_ntz'2024-07-02 09:30:00'")
     storage.export_calculation(df, str(tmp_path / "c"))
     assert sorted(r["ts"] for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()) == ["2024-01-02 14:30:00", "2024-07-02 13:30:00"]
+
+
+def test_unreadable_rows_are_issues(spark):
+    at = "symbol long, ts timestamp"
+    stream = spark.createDataFrame([(1, dt.datetime(2024, 1, 2)), (4, dt.datetime(2024, 1, 2))], at)
+    source = spark.createDataFrame([(1, dt.datetime(2024, 1, 2)), (2, dt.datetime(2024, 1, 2)), (4, dt.datetime(2024, 1, 5))], at)
+    wanted, bad = spark.createDataFrame([(1,), (2,), (3,), (4,)], "symbol long"), spark.createDataFrame([(1,), (1,), (9,)], "symbol long")
+    got = sorted(tuple(r) for r in quality.source_issues(stream, source, wanted, bad, bad.filter("symbol = 9")).collect())
+    assert got == [(1, "ERROR_READING_REALTIME"), (2, "MISSING_REALTIME_DATA"), (3, "EMPTY_SOURCE_DATA"), (3, "MISSING_REALTIME_DATA"), (4, "EMPTY_SOURCE_DATA")]
