@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import decontamination, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from quotemill.llm import decontamination, language_id, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sharding, substring_dedup, token_counts, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(_table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"), rebuild=prefix_trie.branched)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE items AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -134,6 +147,31 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM r
 """
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(coalesce(text, ''))) AS p,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS k, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base FROM t),
+h AS (
+  SELECT conv_id, base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, x)), 4294967295), 4294967295) % 6 AS h FROM c),
+rebuilt AS (
+  SELECT h.conv_id, list(s.k ORDER BY s.o, s.p) AS k, list(s.chars ORDER BY s.o, s.p) AS chars
+  FROM h JOIN (SELECT conv_id, 0 AS o, p, k, chars FROM t UNION ALL SELECT conv_id, 1, p, k, chars FROM t) s
+    ON (s.o = 0 AND s.conv_id = h.base AND s.p <= h.h) OR (s.o = 1 AND s.conv_id = h.conv_id AND s.p > h.h) GROUP BY 1),
+r AS (SELECT c.conv_id, coalesce(k, []) AS k, coalesce(chars, []) AS chars FROM c LEFT JOIN rebuilt USING (conv_id)),
+path AS (SELECT conv_id, d, md5(array_to_string(k[1:d], ',')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(k[1:d - 1], ',')) END AS up, chars[d] AS chars, d = len(k) AS ends
+  FROM (SELECT *, unnest(range(0, len(k) + 1)) AS d FROM r)),
+n AS (SELECT d, node, any_value(up) AS up, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM path GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, up AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, node)),
+below AS (SELECT p.d, p.node, sum((m.n_children = 0)::INT) AS n_leaves, sum((m.n - 1) * coalesce(m.chars, 0)) AS saved FROM m JOIN path p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY 1, 2)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN below USING (d, node) LEFT JOIN n u ON u.d = m.d - 1 AND u.node = m.up
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -147,8 +185,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_whitening": op12_whitening,
+        "op13_sharding": op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_near_dedup": OP2_SQL, "op6_substring_dedup": OP6_SQL, "op10_quality_rules": OP10_SQL, "op11_prefix_trie": OP11_SQL}
