@@ -10,12 +10,13 @@ from quotemill.functions.time import bucket, clock, time_of_day
 OHLC = ("open", "high", "low", "close")
 
 
-def trades_to_candles(trades: DataFrame, freq: str) -> DataFrame:
+def trades_to_candles(trades: DataFrame, freq: str, first_seq: bool = False) -> DataFrame:
     """``symbol, ts, open, high, low, close, volume`` from ``symbol, ts, seq, price, size``; trades of one
-    time are ordered by ``seq``. One partial aggregate and one shuffle."""
+    time are ordered by ``seq``, of which ``first_seq`` adds the smallest. One partial aggregate and one shuffle."""
     at = F.struct("ts", "seq")
+    more = [F.min("seq").alias("first_seq")] if first_seq else []
     return trades.groupBy("symbol", bucket(F.col("ts"), freq).alias("bucket")).agg(
-        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume")
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), *more
     ).withColumnRenamed("bucket", "ts")
 
 

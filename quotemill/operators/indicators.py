@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.time import clock, time_of_day
-from quotemill.operators.blocks import ewm_mean, spine
+from quotemill.operators.blocks import average_range, ewm_mean, spine, true_range
 from quotemill.operators.candles import daily_bars, session_offset
 
 NAMES = {"min": "lowest", "max": "highest", "sum": "total"}
@@ -36,15 +36,9 @@ def premarket_cumulative(df: DataFrame, col: str, op: str) -> DataFrame:
     return df.withColumn(f"premarket_{NAMES[op]}_{col}", getattr(F, op)(early).over(_day()))
 
 
-def true_range(before: Column) -> Column:
-    return F.greatest(F.abs(F.col("high") - F.col("low")), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-
-
 def atr(df: DataFrame, period: int, freq: str = "1min") -> DataFrame:
     """Average true range over the bars of a symbol; bars of another frequency than 1min have it in the column's name."""
-    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    name = f"atr_{period}" if freq == "1min" else f"atr_{period}_{freq}"
-    return ewm_mean(df.withColumn("_tr", true_range(before)), F.col("_tr"), period, name, ["symbol"], ["ts"]).drop("_tr")
+    return average_range(df, period, f"atr_{period}" if freq == "1min" else f"atr_{period}_{freq}", F.date_trunc("month", "ts"))
 
 
 def shift(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -87,7 +81,7 @@ class Daily:
     def atr(self, period: int) -> Daily:
         name = f"daily_atr_{period}"
         if name not in self.names:
-            f = self.frame.withColumn("_tr", F.when(F.col("high").isNotNull(), true_range(F.lag("close").over(self.order))))
+            f = self.frame.withColumn("_tr", F.when(F.col("high").isNotNull(), true_range(F.col("high"), F.col("low"), F.lag("close").over(self.order))))
             f = ewm_mean(f, F.col("_tr"), period, "_ewm", ["symbol"], ["date"])
             self.frame = f.withColumn(name, F.lag("_ewm").over(self.order)).drop("_tr", "_ewm")
             self.names.append(name)

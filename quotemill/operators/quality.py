@@ -9,7 +9,9 @@ FIELDS = ("open", "high", "low", "close", "volume")
 
 
 def missing_streams(stream: DataFrame, source: DataFrame) -> DataFrame:
-    return source.select("symbol").distinct().join(stream.select("symbol").distinct(), "symbol", "left_anti")
+    """``symbol, date``: days with source bars and no streamed one."""
+    days = lambda df: df.select("symbol", F.to_date("ts").alias("date")).distinct()
+    return days(source).join(days(stream), ["symbol", "date"], "left_anti")
 
 
 def source_issues(stream: DataFrame, source: DataFrame, wanted: DataFrame, unreadable_stream: DataFrame | None = None, unreadable_source: DataFrame | None = None) -> DataFrame:
@@ -66,27 +68,41 @@ def unsorted(df: DataFrame, arrival: str = "seq") -> DataFrame:
     return unsorted_rows(df, arrival).groupBy("symbol").agg(F.count("*").alias("n_violations"))
 
 
-def unsorted_rows(df: DataFrame, arrival: str = "seq") -> DataFrame:
-    before = F.lag("ts").over(Window.partitionBy("symbol").orderBy(arrival))
-    return df.withColumn("_b", before).filter("_b > ts").drop("_b")
-
-
-def issues(stream: DataFrame, source: DataFrame, early: DataFrame) -> DataFrame:
-    """``symbol, issue_type``: a row for each issue of all five audits; ``early`` is the stream in which every
-    symbol has to appear."""
-    found = {
-        "DUPLICATE": stream.groupBy("symbol", "ts").count().filter("count > 1"), "MISMATCH": ohlcv_mismatch(stream, source),
-        "UNSORTED": unsorted_rows(stream), "MISSING_STREAM": missing_streams(early, source),
-    }
-    out = missing_extra(stream, source).select("symbol", "issue_type")
-    for kind, rows in found.items():
-        out = out.unionByName(rows.select("symbol", F.lit(kind).alias("issue_type")))
-    return out
-
-
-def issue_summary(rows: DataFrame) -> DataFrame:
+def unsorted_rows(df: DataFrame, arrival: str = "seq", stretch: int = 1 << 20) -> DataFrame:
+    """Rows whose predecessor in the order of arrival is later. The order runs inside stretches of arrival numbers; the time
+    before a stretch is the last one of the stretch before it."""
+    df = df.withColumn("_s", F.floor(F.col(arrival) / stretch))
+    last = df.groupBy("symbol", "_s").agg(F.max_by("ts", arrival).alias("_last"))
+    last = last.select("symbol", "_s", F.lag("_last").over(Window.partitionBy("symbol").orderBy("_s")).alias("_last"))
+    before = F.lag("ts").over(Window.partitionBy("symbol", "_s").orderBy(arrival))
+    return df.withColumn("_b", before).join(last, ["symbol", "_s"]).filter("coalesce(_b, _last) > ts").drop("_s", "_b", "_last")
+
+
+def issue_counts(stream: DataFrame, source: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """``symbol, date, issue_type, n``: the issues of all audits by day, from one comparison of the two sides: each is
+    aggregated by ``symbol, ts`` once, and a full join sets them side by side."""
+    seq = "seq" if "seq" in stream.columns else "ts"
+    a = stream.groupBy("symbol", "ts").agg(F.count("*").alias("n"), F.min_by(F.struct(*FIELDS), seq).alias("a"))
+    b = source.groupBy("symbol", "ts").agg(F.min_by(F.struct(*FIELDS), "seq" if "seq" in source.columns else "ts").alias("b"))
+    ends = stream.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    both = a.join(b, ["symbol", "ts"], "full").join(ends, "symbol", "left")
+    differs = lambda f: F.coalesce(F.abs(F.col(f"a.{f}") - F.col(f"b.{f}")) > tolerance, F.col(f"a.{f}").isNull() != F.col(f"b.{f}").isNull()).cast("int")
+    here, there = F.col("a").isNotNull(), F.col("b").isNotNull()
+    days = both.groupBy("symbol", F.to_date("ts").alias("date")).agg(
+        F.count_if(F.col("n") > 1).alias("DUPLICATE"), F.sum(F.when(here & there, sum((differs(f) for f in FIELDS), F.lit(0))).otherwise(0)).alias("MISMATCH"),
+        F.count_if(~here & F.col("ts").between(F.col("first"), F.col("last"))).alias("MISSING"), F.count_if(~there).alias("EXTRA"), (~F.bool_or(here)).cast("long").alias("MISSING_STREAM"),
+    )
+    kinds = ["DUPLICATE", "MISMATCH", "MISSING", "EXTRA", "MISSING_STREAM"]
+    rows = days.select("symbol", "date", F.explode(F.array(*[F.struct(F.lit(k).alias("issue_type"), F.col(k).cast("long").alias("n")) for k in kinds])).alias("e")).select("symbol", "date", "e.*").filter("n > 0")
+    if seq == "ts":
+        return rows
+    late = unsorted_rows(stream, seq).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.count("*").alias("n"))
+    return rows.unionByName(late.select("symbol", "date", F.lit("UNSORTED").alias("issue_type"), "n"))
+
+
+def issue_summary(counts: DataFrame) -> DataFrame:
     """``issue_type, n, symbols``: issues and symbols that have one."""
-    return rows.groupBy("issue_type").agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("symbols"))
+    return counts.groupBy("issue_type").agg(F.sum("n").alias("n"), F.count_distinct("symbol").alias("symbols"))
 
 
 def duplicate_times(df: DataFrame) -> DataFrame:

@@ -148,24 +148,15 @@ def candles_range(spark, sf_dir):
     return _out(b, "symbol", "ts", "close")
 
 
-@_register(
-    "split_adjust", "SELECT symbol, date, round(close * coalesce(f, 1), 6) AS close, volume FROM (SELECT s.symbol, s.date, any_value(close) AS close, any_value(volume) AS volume, product(split_from / split_to) AS f FROM ship s LEFT JOIN splits p ON s.symbol = p.symbol AND s.date < p.e AND p.e <= DATE '2000-12-31' GROUP BY 1, 2)",
-    *SHIPMENTS, "splits AS (SELECT p_partkey % 100 AS symbol, (DATE '1996-01-01' + p_partkey::INTEGER) AS e, 1 AS split_from, p_size % 3 + 2 AS split_to FROM part WHERE p_partkey <= 300)",
-)
-def split_adjust(spark, sf_dir):
-    out = candles.split_adjust(model.shipments(spark, sf_dir), model.splits(spark, sf_dir), F.lit("2000-12-31").cast("date"))
-    return _out(out, "symbol", "date", "close", "volume")
-
-
 _PART_SPLITS = "splits AS (SELECT p_partkey % (SELECT count(*) FROM supplier) + 1 AS symbol, DATE '1993-01-01' + (p_size % 25 * 100)::INTEGER AS e, p_size % 3 + 1 AS split_from, p_partkey % 4 + 1 AS split_to FROM part)"
 
 
 @_register(
-    "split_adjust_parts", "SELECT symbol, date, round(close * coalesce(f, 1), 6) AS close, volume FROM (SELECT s.symbol, s.date, any_value(close) AS close, any_value(volume) AS volume, product(split_from / split_to) AS f FROM ship s LEFT JOIN splits p ON s.symbol = p.symbol AND s.date < p.e AND p.e <= DATE '2000-12-31' GROUP BY 1, 2)",
+    "split_adjust", "SELECT symbol, date, round(close * coalesce(f, 1), 6) AS close, volume FROM (SELECT s.symbol, s.date, any_value(close) AS close, any_value(volume) AS volume, product(split_from / split_to) AS f FROM ship s LEFT JOIN splits p ON s.symbol = p.symbol AND s.date < p.e AND p.e <= DATE '2000-12-31' GROUP BY 1, 2)",
     *SHIPMENTS, _PART_SPLITS,
 )
-def split_adjust_parts(spark, sf_dir):
-    out = candles.split_adjust(model.shipments(spark, sf_dir), model.part_splits(spark, sf_dir), F.lit("2000-12-31").cast("date"))
+def split_adjust(spark, sf_dir):
+    out = candles.split_adjust(model.shipments(spark, sf_dir), model.splits(spark, sf_dir), F.lit("2000-12-31").cast("date"))
     return _out(out, "symbol", "date", "close", "volume")
 
 
@@ -294,7 +285,7 @@ def filter_dow(spark, sf_dir):
     return scanners.weekday_filter(_days(spark, sf_dir), [0, 2])
 
 
-_HEAD = "head AS (SELECT doc_id % 50 AS symbol, source, substr(text, 1, 80) AS title, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR AS published_at FROM documents)"
+_HEAD = "head AS (SELECT doc_id % 50 AS symbol, source, text AS title, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR AS published_at FROM documents)"
 
 
 @_register(
@@ -446,26 +437,23 @@ def dq_unsorted(spark, sf_dir):
     return quality.unsorted(model.streamed(spark, sf_dir))
 
 
-@_register("dq_summary", "SELECT 'DUPLICATE' AS issue_type, count(*) AS n FROM (SELECT 1 FROM s GROUP BY symbol, ts HAVING count(*) > 1) UNION ALL SELECT 'MISMATCH', count(*) FROM (SELECT symbol, ts, arg_min(close, seq) AS c FROM s GROUP BY 1, 2) s JOIN bars b USING (symbol, ts) WHERE abs(s.c - b.close) > 1e-6", *_STREAM)
-def dq_summary(spark, sf_dir):
-    s = model.streamed(spark, sf_dir)
-    issues = s.groupBy("symbol", "ts").count().filter("count > 1").select(F.lit("DUPLICATE").alias("issue_type"))
-    return issues.unionByName(quality.ohlcv_mismatch(s, model.bars(spark, sf_dir)).select(F.lit("MISMATCH").alias("issue_type"))).groupBy("issue_type").agg(F.count("*").alias("n"))
-
-
-@_register(
-    "dq_issue_summary",
-    """SELECT issue_type, count(*) AS n, count(DISTINCT symbol) AS symbols FROM (
+_ISSUES_SQL = """SELECT {} FROM (
       SELECT symbol, 'DUPLICATE' AS issue_type FROM s GROUP BY symbol, ts HAVING count(*) > 1
       UNION ALL SELECT s.symbol, 'MISMATCH' FROM (SELECT symbol, ts, arg_min(close, seq) AS c FROM s GROUP BY 1, 2) s JOIN bars b USING (symbol, ts) WHERE abs(s.c - b.close) > 1e-6
       UNION ALL SELECT b.symbol, 'MISSING' FROM bars b JOIN (SELECT symbol, min(ts) AS a, max(ts) AS z FROM s GROUP BY 1) e ON b.symbol = e.symbol AND b.ts BETWEEN a AND z WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = b.symbol AND s.ts = b.ts)
       UNION ALL SELECT symbol, 'EXTRA' FROM (SELECT DISTINCT symbol, ts FROM s) s WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE s.symbol = b.symbol AND s.ts = b.ts)
       UNION ALL SELECT symbol, 'UNSORTED' FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY seq) AS p FROM s) WHERE p > ts
-      UNION ALL SELECT DISTINCT symbol, 'MISSING_STREAM' FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')) GROUP BY 1""", *_STREAM,
-)
+      UNION ALL SELECT symbol, 'MISSING_STREAM' FROM (SELECT DISTINCT symbol, date FROM bars) b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = b.symbol AND s.ts::DATE = b.date)) GROUP BY 1"""
+
+
+@_register("dq_issue_summary", _ISSUES_SQL.format("issue_type, count(*) AS n, count(DISTINCT symbol) AS symbols"), *_STREAM)
 def dq_issue_summary(spark, sf_dir):
-    s = model.streamed(spark, sf_dir)
-    return quality.issue_summary(quality.issues(s, model.bars(spark, sf_dir), s.filter("ts < timestamp_ntz'2024-01-01 01:00'")))
+    return quality.issue_summary(quality.issue_counts(model.streamed(spark, sf_dir), model.bars(spark, sf_dir)))
+
+
+@_register("dq_summary", _ISSUES_SQL.format("issue_type, count(*) AS n"), *_STREAM)
+def dq_summary(spark, sf_dir):
+    return dq_issue_summary(spark, sf_dir).select("issue_type", "n")
 
 
 @_register("symbols_with_stream", "SELECT DISTINCT symbol FROM s WHERE ts::DATE = DATE '2024-01-08'", *_STREAM)
@@ -507,24 +495,12 @@ def expired_partitions(spark, sf_dir):
     return listings.expired_partitions(wanted.select("symbol", "key"), manifest, _TODAY)
 
 
-_SPLIT = "x AS (SELECT p_partkey % 100 AS symbol, DATE '1996-01-01' + p_partkey::INTEGER AS execution_date, p_size % 3 + 2 AS split_to, p_size FROM part WHERE p_partkey <= 300)"
-
-
 @_register(
-    "splits_merge", "SELECT symbol, execution_date, split_to::BIGINT AS split_to FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT symbol, execution_date, split_to::BIGINT FROM n WHERE symbol IN (SELECT symbol FROM s)",
-    _SPLIT, "o AS (SELECT * FROM x WHERE execution_date < DATE '1996-07-01')", "n AS (SELECT * FROM x WHERE split_to > 2)", "s AS (SELECT DISTINCT n.symbol FROM n LEFT JOIN (SELECT symbol, max(execution_date) AS k FROM o GROUP BY 1) USING (symbol) WHERE k IS NULL OR execution_date > k)",
+    "splits_merge", "SELECT symbol, e AS execution_date, split_to::BIGINT AS split_to FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT symbol, e, split_to::BIGINT FROM n WHERE symbol IN (SELECT symbol FROM s)",
+    _PART_SPLITS, "o AS (SELECT * FROM splits WHERE e < DATE '1997-07-01')", "n AS (SELECT * FROM splits WHERE split_to > 2)", "s AS (SELECT DISTINCT n.symbol FROM n LEFT JOIN (SELECT symbol, max(e) AS k FROM o GROUP BY 1) USING (symbol) WHERE k IS NULL OR e > k)",
 )
 def splits_merge(spark, sf_dir):
     s = model.splits(spark, sf_dir).select("symbol", "execution_date", F.col("split_to").cast("long"))
-    return listings.merge_splits(s.filter("execution_date < date'1996-07-01'"), s.filter("split_to > 2"))
-
-
-@_register(
-    "splits_merge_parts", "SELECT symbol, e AS execution_date, split_to::BIGINT AS split_to FROM o WHERE symbol NOT IN (SELECT symbol FROM s) UNION ALL SELECT symbol, e, split_to::BIGINT FROM n WHERE symbol IN (SELECT symbol FROM s)",
-    _PART_SPLITS, "o AS (SELECT * FROM splits WHERE e < DATE '1997-07-01')", "n AS (SELECT * FROM splits WHERE split_to > 2)", "s AS (SELECT DISTINCT n.symbol FROM n LEFT JOIN (SELECT symbol, max(e) AS k FROM o GROUP BY 1) USING (symbol) WHERE k IS NULL OR e > k)",
-)
-def splits_merge_parts(spark, sf_dir):
-    s = model.part_splits(spark, sf_dir).select("symbol", "execution_date", F.col("split_to").cast("long"))
     return listings.merge_splits(s.filter("execution_date < date'1997-07-01'"), s.filter("split_to > 2"))
 
 
@@ -543,13 +519,13 @@ def shares_float(spark, sf_dir):
     return _out(listings.dated_value(_days(spark, sf_dir), model.market_caps(spark, sf_dir).select("symbol", payload), "shares_float"), "symbol", "date", "shares_float")
 
 
-_SCORED = "scored AS (SELECT lang AS symbol, substr(text, 1, 80) AS title, n_chars % 101 AS score, (n_chars + doc_id) % 101 AS again, doc_id, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS published_at FROM documents)"
+_SCORED = "scored AS (SELECT lang AS symbol, text AS title, n_chars % 101 AS score, (n_chars + doc_id) % 101 AS again, doc_id, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS published_at FROM documents)"
 
 
 def _scored(spark, sf_dir):
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
     again = (F.col("n_chars") + F.col("doc_id")) % 101
-    return model.table(spark, sf_dir, "documents").select(F.col("lang").alias("symbol"), F.substring("text", 1, 80).alias("title"), (F.col("n_chars") % 101).alias("score"), again.alias("again"), "doc_id", at.alias("published_at"))
+    return model.table(spark, sf_dir, "documents").select(F.col("lang").alias("symbol"), F.col("text").alias("title"), (F.col("n_chars") % 101).alias("score"), again.alias("again"), "doc_id", at.alias("published_at"))
 
 
 @_register("news_confidence", "SELECT doc_id, max(score) OVER (PARTITION BY symbol, published_at::DATE ORDER BY published_at) AS news_confidence FROM scored", _SCORED)
@@ -557,25 +533,6 @@ def news_confidence(spark, sf_dir):
     return listings.news_confidence(_scored(spark, sf_dir)).select("doc_id", "news_confidence")
 
 
-@_register("headline_mentions", "SELECT doc_id FROM scored WHERE contains(upper(title), upper(symbol))", _SCORED)
-def headline_mentions(spark, sf_dir):
-    return listings.mentions(_scored(spark, sf_dir)).select("doc_id")
-
-
-@_register("new_headlines", "SELECT doc_id FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id % 3 = 0 AND a.symbol = b.symbol AND a.title = b.title)", _SCORED)
-def new_headlines(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return listings.new_headlines(s, s.filter("doc_id % 3 = 0")).select("doc_id")
-
-
-@_register(
-    "score_comparison", "SELECT symbol, count(*) FILTER (n = 0) AS only_old, count(*) FILTER (o = 0) AS only_new, count(*) FILTER (o > 0 AND n > 0) AS \"both\" FROM (SELECT symbol, title, count(*) FILTER (score > 50) AS o, count(*) FILTER (again > 50) AS n FROM scored WHERE symbol IS NOT NULL AND title IS NOT NULL GROUP BY 1, 2) WHERE o + n > 0 GROUP BY 1", _SCORED
-)
-def score_comparison(spark, sf_dir):
-    s = _scored(spark, sf_dir).filter("symbol IS NOT NULL AND title IS NOT NULL")
-    return listings.score_comparison(s, s.withColumn("score", F.col("again")))
-
-
 _LINES = "scored AS (SELECT lang AS symbol, unnest(string_split(text, chr(10))) AS title, n_chars % 101 AS score, (n_chars + doc_id) % 101 AS again, doc_id FROM documents)"
 
 
@@ -586,26 +543,28 @@ def _scored_lines(spark, sf_dir):
     return d.select(F.col("lang").alias("symbol"), F.explode(F.split("text", "\n")).alias("title"), (F.col("n_chars") % 101).alias("score"), again.alias("again"), "doc_id")
 
 
-@_register("headline_mentions_lines", "SELECT doc_id, count(*) AS n FROM scored WHERE contains(upper(title), upper(symbol)) GROUP BY 1", _LINES)
-def headline_mentions_lines(spark, sf_dir):
+@_register("headline_mentions", "SELECT doc_id, count(*) AS n FROM scored WHERE contains(upper(title), upper(symbol)) GROUP BY 1", _LINES)
+def headline_mentions(spark, sf_dir):
     return listings.mentions(_scored_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@_register("new_headlines_lines", "SELECT doc_id, count(*) AS n FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id % 3 = 0 AND a.symbol = b.symbol AND a.title = b.title) GROUP BY 1", _LINES)
-def new_headlines_lines(spark, sf_dir):
+@_register("new_headlines", "SELECT doc_id, count(*) AS n FROM scored a WHERE NOT EXISTS (SELECT 1 FROM scored b WHERE b.doc_id % 3 = 0 AND a.symbol = b.symbol AND a.title = b.title) GROUP BY 1", _LINES)
+def new_headlines(spark, sf_dir):
     s = _scored_lines(spark, sf_dir)
     return listings.new_headlines(s, s.filter("doc_id % 3 = 0")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@_register("score_comparison_lines", ORACLES["score_comparison"].split("\n", 1)[1], _LINES)
-def score_comparison_lines(spark, sf_dir):
+@_register(
+    "score_comparison", "SELECT symbol, count(*) FILTER (n = 0) AS only_old, count(*) FILTER (o = 0) AS only_new, count(*) FILTER (o > 0 AND n > 0) AS \"both\" FROM (SELECT symbol, title, count(*) FILTER (score > 50) AS o, count(*) FILTER (again > 50) AS n FROM scored WHERE symbol IS NOT NULL AND title IS NOT NULL GROUP BY 1, 2) WHERE o + n > 0 GROUP BY 1", _LINES
+)
+def score_comparison(spark, sf_dir):
     s = _scored_lines(spark, sf_dir).filter("symbol IS NOT NULL AND title IS NOT NULL")
     return listings.score_comparison(s, s.withColumn("score", F.col("again")))
 
 
-@_register("dq_missing_streams", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM s WHERE ts < TIMESTAMP '2024-01-01 01:00')", *_STREAM)
+@_register("dq_missing_streams", "SELECT DISTINCT symbol, date FROM bars b WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.symbol = b.symbol AND s.ts::DATE = b.date)", *_STREAM)
 def dq_missing_streams(spark, sf_dir):
-    return quality.missing_streams(model.streamed(spark, sf_dir).filter("ts < timestamp_ntz'2024-01-01 01:00'"), model.bars(spark, sf_dir))
+    return quality.missing_streams(model.streamed(spark, sf_dir), model.bars(spark, sf_dir))
 
 
 @_register(

@@ -53,11 +53,6 @@ def static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter("p_partkey <= 300")
-    return p.select((F.col("p_partkey") % 100).alias("symbol"), F.date_add(F.lit("1996-01-01").cast("date"), F.col("p_partkey").cast("int")).alias("execution_date"), F.lit(1).alias("split_from"), (F.col("p_size") % 3 + 2).alias("split_to"))
-
-
-def part_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits and reverse splits from all of part: some twenty a supplier, of which several may fall on one date."""
     p, n = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     date = F.date_add(F.lit("1993-01-01").cast("date"), (F.col("p_size") % 25 * 100).cast("int"))
@@ -67,12 +62,12 @@ def part_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("doc_id").cast("int"))
-    return d.select((F.col("doc_id") % 50).alias("symbol"), "source", F.substring("text", 1, 80).alias("title"), at.alias("published_at"))
+    return d.select((F.col("doc_id") % 50).alias("symbol"), "source", F.col("text").alias("title"), at.alias("published_at"))
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars as a stream might have delivered them: some lost, changed, or delivered twice."""
-    b = trades(spark, sf_dir).groupBy("symbol", F.date_trunc("hour", "ts").alias("ts")).agg(F.min("seq").alias("seq"))
-    b = bars(spark, sf_dir).drop("date").join(b, ["symbol", "ts"]).filter("seq % 17 <> 0")
+    b = trades_to_candles(trades(spark, sf_dir), "1h", first_seq=True).withColumnRenamed("first_seq", "seq").filter("seq % 17 <> 0")
     b = b.withColumn("close", F.when(F.col("seq") % 23 == 0, F.col("close") + 1).otherwise(F.col("close")))
-    return b.unionByName(b.filter("seq % 29 = 0").withColumn("seq", F.col("seq") + 1_000_000_000))
+    again = F.when(F.col("seq") % 29 == 0, F.array("seq", F.col("seq") + 1_000_000_000)).otherwise(F.array("seq"))
+    return b.select(*[c for c in b.columns if c != "seq"], F.explode(again).alias("seq"))
