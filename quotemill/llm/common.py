@@ -54,13 +54,18 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at a table every
     executor can reach, so a lost executor costs only its running tasks."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table written of ``df``, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     if _TABLES.get() is not None:
         _TABLES.get().append(path)
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files of earlier tables stay until the driver collects its garbage
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -93,12 +98,6 @@ def own_tables(job):
     return run
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark removes the files with the DataFrame."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if its values are of at most ``most`` bytes, else as it is (a shuffle join
     follows, which adaptive execution splits on hot keys). Sums ``df`` up, so give it a written table."""
@@ -115,9 +114,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Components of an undirected graph ``edges(a, b)`` as ``(id, component)``; component is the
     smallest id reachable. Alternating large-star and small-star rounds (Kiveris et al. 2014): every
     round is two min-aggregations and joins, so a hub is combined map-side and never sits in one task.
-    Nodes without an edge to another node do not appear. NULL ends and loops are ignored."""
+    Nodes without an edge to another node do not appear. NULL ends and loops are ignored. The edges of each round are a
+    table in the shared folder; the one of the round before is deleted then."""
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    e = checkpoint(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e, path = _written(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -126,7 +126,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         around = large.join(low, "u")
         out = around.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(out.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        old = path
+        e, path = _written(out.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        drop_table(edges.sparkSession, old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import checkpoint, fresh, small
+from quotemill.llm.common import fresh, materialize, own_tables, small
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -60,17 +60,18 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return items.select("item_id", "size", F.explode(F.slice(hashes, F.lit(1), k)).alias("h"))
 
 
+@own_tables
 def contained_items(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """``doc_id, item_id, n_item_shingles, n_shared, containment``: one row for each item in each document."""
-    its = checkpoint(item_shingles(items, item_id, item_text))
+    its = materialize(item_shingles(items, item_id, item_text))
     sizes = [r[0] for r in its.select("size").distinct().collect()]  # at most WORDS values
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _words(F.col(doc_text)).alias("w"), F.col(doc_text).alias("_text")).filter("doc_id IS NOT NULL")
-    sketch = checkpoint(sketches(its, threshold))
+    sketch = materialize(sketches(its, threshold))
     probes = F.concat(*[_windows("w", s, lambda x: F.xxhash64(x)) for s in sizes]) if sizes else F.array().cast("array<bigint>")
     found = d.select("doc_id", F.explode(probes).alias("h")).join(small(sketch.select("h").distinct()), "h", "left_semi")
-    found = checkpoint(found.select("doc_id").distinct())
+    found = materialize(found.select("doc_id").distinct())
     some = d.select("doc_id", "_text").join(small(found), "doc_id", "left_semi").select("doc_id", _words(F.col("_text")).alias("w"))
     grams = F.concat(*[_windows("w", s, _text) for s in sizes]) if sizes else F.array().cast("array<string>")
     grams = some.select("doc_id", F.explode(F.array_distinct(grams)).alias("shingle"))
@@ -85,5 +86,5 @@ def contained_items(
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """``docs`` without the documents that contain an item; columns unchanged. Rows with a NULL id stay."""
     bad = fresh("bad")
-    found = checkpoint(contained_items(docs, items, doc_id=doc_id, doc_text=doc_text).select(F.col("doc_id").alias(bad)).distinct())
+    found = materialize(contained_items(docs, items, doc_id=doc_id, doc_text=doc_text).select(F.col("doc_id").alias(bad)).distinct())
     return docs.join(small(found), F.col(doc_id).cast("long") == F.col(bad), "left_anti")

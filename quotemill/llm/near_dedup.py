@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import checkpoint, connected_components, fresh, materialize, own_tables, region_links, small
+from quotemill.llm.common import connected_components, fresh, materialize, own_tables, region_links, small
 
 TREES, LEVELS, MIN_DEPTH, REGION = 20, 6, 3, 64
 PERCENT = 80
@@ -131,12 +131,12 @@ def _fits(a: str, b: str, percent: int):
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` whose full sets reach the similarity. Only documents in a pair are read again."""
     pairs = materialize(pairs.select("a", "b").distinct())
-    ids = checkpoint(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = materialize(texts.mapInArrow(_sets(size), "id long, s array<long>"))
     two = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return checkpoint(two.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
+    return materialize(two.filter(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
 
 def _forest(reps: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = region_links(
         _union(leaves), ["t", "depth", "p"], sketches, lambda a, b: _fits(a, b, percent), lambda pairs: _confirmed(pairs, docs, size, percent), _union(stars)
     )
-    groups = checkpoint(connected_components(links))
+    groups = materialize(connected_components(links))
 
     first = first.join(groups, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = sig.select("doc_id", "n", "fp").join(first, "fp", "left")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import materialize
+from quotemill.llm.common import materialize, own_tables
 from quotemill.llm.token_counts import byte_alphabet, tokenizer_path
 
 CAPACITY = 2048
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, smallest
     return d.mapInArrow(run, "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
+@own_tables
 def pack(
     docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID, capacity: int = CAPACITY, smallest: int = SMALLEST, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
