@@ -52,12 +52,12 @@ def true_range(high: Column, low: Column, before: Column) -> Column:
     return F.greatest(F.abs(high - low), F.abs(high - before), F.abs(low - before))
 
 
-def average_range(df: DataFrame, period: int, out: str, chunk: Column, key: str = "symbol", ts: str = "ts") -> DataFrame:
+def average_range(df: DataFrame, period: int, out: str, chunk: Column, key: str = "symbol", ts: str = "ts", sums: bool = False) -> DataFrame:
     """The exponentially weighted mean of true ranges over a history of any length, as a prefix scan in two passes.
 
     ``chunk`` cuts a symbol's history (it does not fall along ``ts``). In each chunk the decayed sums run on their own, without the range of its first
     bar; the ends of the chunks (sums, rows, last close, first bar) are then run along the symbol, and every chunk gets the sums
-    and the close before it. No task takes more bars than a chunk has."""
+    and the close before it. No task takes more bars than a chunk has. ``sums`` adds the mean's two sums, ``_num`` and ``_den``."""
     q, size = _weights(period)
     keys = [key, "_chunk"]
     df = df.withColumn("_chunk", chunk)
@@ -83,7 +83,8 @@ def average_range(df: DataFrame, period: int, out: str, chunk: Column, key: str
     near, far = F.pow(F.lit(q), "_i"), F.pow(F.lit(q), F.col("_i") + 1)
     num = F.col("_num") + near * F.coalesce("_tr0", F.lit(0.0)) + far * F.col("_num0")
     den = F.col("_den") + F.when(F.col("_tr0").isNotNull(), near).otherwise(0.0) + far * F.col("_den0")
-    return rows.join(ends, keys).withColumn(out, F.when(den > 0, num / den)).select(*[c for c in df.columns if c not in ("_chunk", out)], out)
+    out_cols = [F.when(den > 0, num / den).alias(out), *([num.alias("_num"), den.alias("_den")] if sums else [])]
+    return rows.join(ends, keys).select(*[c for c in df.columns if c not in ("_chunk", out)], *out_cols)
 
 
 def stretch_of(at: Column, kind: str, days: int) -> Column:

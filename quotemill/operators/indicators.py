@@ -91,7 +91,9 @@ class Daily:
         return self._add("day_open", F.col("open"))
 
     def join(self) -> DataFrame:
-        return self.target.join(self.frame.select("symbol", "date", *self.names), ["symbol", "date"], "left")
+        """The target with the features it does not have yet."""
+        new = [n for n in self.names if n not in self.target.columns]
+        return self.target.join(self.frame.select("symbol", "date", *new), ["symbol", "date"], "left") if new else self.target
 
 
 def prev_session(df: DataFrame, daily: DataFrame, col: str, calendar: DataFrame, n: int = 1) -> DataFrame:
@@ -101,43 +103,52 @@ def prev_session(df: DataFrame, daily: DataFrame, col: str, calendar: DataFrame,
     return df.join(back, "date", "left").join(days, ["symbol", "session"], "left").drop("session")
 
 
-def gap(df: DataFrame, daily: DataFrame, col: str) -> DataFrame:
+def gap(df: DataFrame, daily: DataFrame, col: str, anchor=None) -> DataFrame:
     """(value - previous close) / previous close."""
-    df = Daily(daily, df).prev_day("close").join()
+    df = Daily(daily, df, anchor).prev_day("close").join()
     return df.withColumn(f"gap_{col}", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col("prev_day_close")))
 
 
-def atr_gap(df: DataFrame, daily: DataFrame, col: str, period: int) -> DataFrame:
+def atr_gap(df: DataFrame, daily: DataFrame, col: str, period: int, anchor=None) -> DataFrame:
     """The gap in units of the daily average true range."""
-    df = Daily(daily, df).prev_day("close").atr(period).join()
+    df = Daily(daily, df, anchor).prev_day("close").atr(period).join()
     return df.withColumn(f"atr_gap_{col}_{period}", F.try_divide(F.col(col) - F.col("prev_day_close"), F.col(f"daily_atr_{period}")))
 
 
-def daily_gap(df: DataFrame, daily: DataFrame, intraday: bool = True) -> DataFrame:
-    """(day's open - previous close) / previous close, unknown before 09:30."""
-    df = Daily(daily, df).prev_day("close").day_open().join()
+def _opening_gap(days: Daily, intraday: bool) -> tuple[DataFrame, Column]:
+    """The target with the features of ``days``, and the gap of the day's open, unknown before 09:30."""
+    kept = [c for c in days.target.columns if c == "day_open"]
+    days.target = days.target.withColumnsRenamed({"day_open": "_day_open"})
+    df = days.prev_day("close").day_open().join()
     value = F.try_divide(F.col("day_open") - F.col("prev_day_close"), F.col("prev_day_close"))
-    return df.withColumn("daily_gap", F.when(time_of_day(F.col("ts")) >= OPEN, value) if intraday else value).drop("day_open")
+    df = df.withColumn("daily_gap", F.when(time_of_day(F.col("ts")) >= OPEN, value) if intraday else value).drop("day_open")
+    return (df.withColumnsRenamed({"_day_open": "day_open"}) if kept else df), F.col("daily_gap")
+
+
+def daily_gap(df: DataFrame, daily: DataFrame, intraday: bool = True, anchor=None) -> DataFrame:
+    """(day's open - previous close) / previous close, unknown before 09:30."""
+    return _opening_gap(Daily(daily, df, anchor), intraday)[0]
 
 
-def daily_atr_gap(df: DataFrame, daily: DataFrame, period: int) -> DataFrame:
-    df = daily_gap(Daily(daily, df).atr(period).join(), daily)
-    return df.withColumn(f"daily_atr_gap_{period}", F.try_divide(F.col("daily_gap") * F.col("prev_day_close"), F.col(f"daily_atr_{period}")))
+def daily_atr_gap(df: DataFrame, daily: DataFrame, period: int, anchor=None) -> DataFrame:
+    """The day's gap in units of the daily average true range; one spine serves both."""
+    out, value = _opening_gap(Daily(daily, df, anchor).atr(period), True)
+    return out.withColumn(f"daily_atr_gap_{period}", F.try_divide(value * F.col("prev_day_close"), F.col(f"daily_atr_{period}")))
 
 
-def day_open(df: DataFrame, daily: DataFrame) -> DataFrame:
-    df = Daily(daily, df).day_open().join()
+def day_open(df: DataFrame, daily: DataFrame, anchor=None) -> DataFrame:
+    df = Daily(daily, df.drop("day_open"), anchor).day_open().join()
     return df.withColumn("day_open", F.when(time_of_day(F.col("ts")) >= OPEN, F.col("day_open")))
 
 
-def position_in_range(df: DataFrame, daily: DataFrame, n: int) -> DataFrame:
+def position_in_range(df: DataFrame, daily: DataFrame, n: int, anchor=None) -> DataFrame:
     """Where the close lies between the lowest low and highest high of the n days before."""
-    df = Daily(daily, df).rolling(n, "min", "low").rolling(n, "max", "high").join()
+    df = Daily(daily, df, anchor).rolling(n, "min", "low").rolling(n, "max", "high").join()
     low, high = F.col(f"min_low_{n}d"), F.col(f"max_high_{n}d")
     return df.withColumn(f"position_in_range_{n}d", F.when(high != low, (F.col("close") - low) / (high - low)))
 
 
-def prev_allday(df: DataFrame, bars: DataFrame, col: str) -> DataFrame:
+def prev_allday(df: DataFrame, bars: DataFrame, col: str, anchor=None) -> DataFrame:
     """Previous day's value over all sessions."""
-    days = Daily(daily_bars(bars), df).prev_day(col)
-    return days.join().withColumnRenamed(f"prev_day_{col}", f"prev_allday_{col}")
+    days = Daily(daily_bars(bars), df.select("symbol", "date").distinct(), anchor).prev_day(col).join()
+    return df.join(days.withColumnRenamed(f"prev_day_{col}", f"prev_allday_{col}"), ["symbol", "date"], "left")

@@ -14,6 +14,7 @@ from quotemill.plans.queries import D1, FEATURES, H1, ORACLES, SHIPMENTS, TRADES
 from quotemill.sources import model
 from quotemill.streaming import buckets, live, running
 from quotemill.streaming import candles as feed
+from quotemill.streaming import indicators as live_forms
 
 # ---- indicators by name
 
@@ -155,35 +156,42 @@ _CHANGES = "c AS (SELECT user_id, event_id % 10 AS symbol, CASE WHEN event_id %
     "n AS (SELECT *, sum(step) OVER (PARTITION BY symbol, unit ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS n FROM m WHERE step <> 0)",
 )
 def subscription_triggers(spark, sf_dir):
+    return live.subscription_triggers(_subscription_changes(spark, sf_dir)).select("symbol", "unit", "seq", "trigger")
+
+
+def _subscription_changes(spark, sf_dir):
     e = model.table(spark, sf_dir, "events")
     unit = F.when(F.col("event_id") % 2 == 0, "s").otherwise("min").alias("unit")
-    changes = e.select(F.col("user_id").alias("subscriber"), (F.col("event_id") % 10).alias("symbol"), unit, "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("add"))
-    return live.subscription_triggers(changes).select("symbol", "unit", "seq", "trigger")
+    return e.select(F.col("user_id").alias("subscriber"), (F.col("event_id") % 10).alias("symbol"), unit, "ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("add"))
 
 
 @_register(
     "subscribed_values", "SELECT c_custkey AS subscription_id, symbol, ts, CASE WHEN c_custkey % 2 = 0 THEN round(total, 6) END AS total_volume, round(low, 6) AS low FROM customer JOIN (SELECT symbol, ts, low, (sum(volume) OVER (PARTITION BY symbol, date ORDER BY ts ROWS UNBOUNDED PRECEDING))::DOUBLE AS total FROM bars) ON symbol = c_custkey % 10 WHERE c_nationkey = 3", *H1,
 )
 def subscribed_values(spark, sf_dir):
-    c = model.table(spark, sf_dir, "customer").filter("c_nationkey = 3")
-    wanted = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("total_volume"), F.lit("low"))).otherwise(F.array(F.lit("low")))
-    subscriptions = c.select(F.col("c_custkey").alias("subscription_id"), (F.col("c_custkey") % 10).alias("symbol"), F.lit("1h").alias("freq"), wanted.alias("indicators"))
+    subscriptions = _subscriptions(spark, sf_dir)
     bars = registry.indicate(model.bars(spark, sf_dir), registry.Tables(), [("cumulative", dict(col="volume", op="sum"))]).withColumn("freq", F.lit("1h"))
     out = live.subscribed_values(bars, subscriptions)
     return _out(out.select("subscription_id", "symbol", "ts", F.col("values")["total_volume"].alias("total_volume"), F.col("values")["low"].alias("low")), "subscription_id", "symbol", "ts", "total_volume", "low")
 
 
+def _subscriptions(spark, sf_dir):
+    c = model.table(spark, sf_dir, "customer").filter("c_nationkey = 3")
+    wanted = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("total_volume"), F.lit("low"))).otherwise(F.array(F.lit("low")))
+    return c.select(F.col("c_custkey").alias("subscription_id"), (F.col("c_custkey") % 10).alias("symbol"), F.lit("1h").alias("freq"), wanted.alias("indicators"))
+
+
 # ---- the same rules in a stream
 
 
 def _stream_scan(name: str, columns: list[str], features, day: dict, want: running.Running, rule: dict, sql: str, *ctes: str):
-    @_register(f"stream_scan_{name}", sql, *(ctes or (*FEATURES, _VOL)))
+    @_register(f"stream_scan_{name}", f"SELECT *, strftime(ts + INTERVAL 1 HOUR, '%H:%M') AS scan_time FROM ({sql})", *(ctes or (*FEATURES, _VOL)))
     def query(spark, sf_dir):
         bars = model.bars(spark, sf_dir)
         days = scanners.surviving_days(features(Daily(model.daily(spark, sf_dir), bars)), **day)
         live_bars = running.running(running.replay(bars.drop("date")), want)
         found = running.to_table(running.matches(name, live_bars, days, "1h", **rule))
-        return _out(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), *columns)
+        return _out(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), *columns, "scan_time")
 
 
 def _sql(name: str) -> str:
@@ -223,6 +231,67 @@ def stream_indicators(spark, sf_dir):
     return _out(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "cumulative_daily_volume", "premarket_total_volume", "low_shift_2", "atr_14")
 
 
+@_register(
+    "stream_live_forms",
+    "SELECT symbol, ts, round(cv::DOUBLE, 6) AS cumulative_daily_volume, round((close - prev_day_close) / prev_day_close, 6) AS gap_close, round((low - prev_day_close) / nullif(daily_atr_14, 0), 6) AS atr_gap_low_14, round((close - min_low_5d) / nullif(max_high_5d - min_low_5d, 0), 6) AS position_in_range_5d, round(adr_14, 6) AS adr_14, round(prev_day_open, 6) AS prev_day_open FROM v LEFT JOIN f USING (symbol, date)",
+    *FEATURES, _VOL,
+)
+def stream_live_forms(spark, sf_dir):
+    bars = model.bars(spark, sf_dir)
+    wanted = [("cumulative_daily_volume", {}), ("gap", dict(col="close")), ("atr_gap", dict(col="low", period=14)), ("position_in_range", dict(n=5)), ("adr", dict(period=14)), ("prev_day", dict(col="open"))]
+    out = running.to_table(live_forms.live_indicators(running.replay(bars.drop("date")), wanted, registry.Tables(model.daily(spark, sf_dir)), bars.select("symbol", "date").distinct()))
+    names = ["cumulative_daily_volume", "gap_close", "atr_gap_low_14", "position_in_range_5d", "adr_14", "prev_day_open"]
+    return _out(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", *names)
+
+
+@_register(
+    "stream_warm_start", f"SELECT symbol, ts, round({_ewm('l', 14)}, 6) AS atr_14, round(l2, 6) AS low_shift_2, round(cv::DOUBLE, 6) AS cumulative_daily_volume FROM y JOIN v USING (symbol, ts) WHERE ts >= TIMESTAMP '2024-01-10 13:00'",
+    *H1, _VOL, "x AS (SELECT symbol, ts, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts))",
+    "y AS (SELECT symbol, ts, list(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM x)",
+)
+def stream_warm_start(spark, sf_dir):
+    """A stream that begins within a day and goes on from the state of all bars before it."""
+    bars, cut = model.bars(spark, sf_dir).drop("date"), F.lit("2024-01-10 13:00:00").cast("timestamp_ntz")
+    live_bars = running.running(running.replay(bars.filter(F.col("ts") >= cut)), running.Running(atr=14, shifts=(("low", 2),)), bars.filter(F.col("ts") < cut))
+    return _out(running.to_table(live_bars).withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", "atr_14", "low_shift_2", "cumulative_daily_volume")
+
+
+@_register("stream_subscription_triggers", ORACLES["subscription_triggers"].split("\n")[-1], _CHANGES, "m AS (SELECT *, a - coalesce(lag(a) OVER (PARTITION BY user_id, symbol, unit ORDER BY ts, seq), 0) AS step FROM c)", "n AS (SELECT *, sum(step) OVER (PARTITION BY symbol, unit ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS n FROM m WHERE step <> 0)")
+def stream_subscription_triggers(spark, sf_dir):
+    return running.to_table(live.live_triggers(running.replay(_subscription_changes(spark, sf_dir)))).select("symbol", "unit", "seq", "trigger")
+
+
+@_register("stream_unseen_headlines", "SELECT DISTINCT symbol, md5(title) AS title, published_at::DATE AS date FROM head", q._HEAD)
+def stream_unseen_headlines(spark, sf_dir):
+    heads = running.replay(model.headlines(spark, sf_dir), at="published_at")
+    return running.to_table(live.unseen_stream(heads)).select("symbol", F.md5(F.col("title").cast("binary")).alias("title"), F.to_date("published_at").alias("date"))
+
+
+_PROCESSED = "p AS (SELECT date_trunc('hour', ts) AS hour, epoch(date_trunc('second', ts))::BIGINT + event_id % 50 - epoch(date_trunc('hour', ts))::BIGINT - 3600 AS late FROM events)"
+
+
+@_register("stream_delivery_latency", "SELECT hour AS ts, max(late) AS last_s, count(*) AS n FROM p WHERE hour < (SELECT max(hour) FROM p) GROUP BY 1", _PROCESSED)
+def stream_delivery_latency(spark, sf_dir):
+    """Hours are given out once the watermark has passed them: all but the newest one."""
+    e = model.table(spark, sf_dir, "events")
+    done = F.timestamp_seconds(F.unix_timestamp(F.col("ts").cast("timestamp")) + F.col("event_id") % 50)
+    rows = e.select(F.date_trunc("hour", "ts").cast("timestamp").alias("ts"), done.alias("processed"))
+    out = running.to_table(live.delivery_latency_stream(running.replay(rows), 3600))
+    return out.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "last_s", "n")
+
+
+@_register("subscribed_sets", ORACLES["subscribed_values"].split("\n")[-1], *H1)
+def subscribed_sets(spark, sf_dir):
+    """As ``subscribed_values``; what no subscription of a set asks for is not computed for it."""
+    known = {"total_volume": ("cumulative", dict(col="volume", op="sum"))}
+
+    def compute(bars, freq, names):
+        return registry.indicate(bars, registry.Tables(), [known[n] for n in names if n in known])
+
+    out = live.subscribed_indicators({"1h": model.bars(spark, sf_dir)}, _subscriptions(spark, sf_dir), compute)
+    return _out(out.select("subscription_id", "symbol", "ts", F.col("values")["total_volume"].alias("total_volume"), F.col("values")["low"].alias("low")), "subscription_id", "symbol", "ts", "total_volume", "low")
+
+
 @_register(
     "stream_complete_bars",
     "SELECT symbol, b AS ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume::DOUBLE AS volume FROM x SEMI JOIN (SELECT symbol AS s, b AS bb FROM x QUALIFY b < max(b) OVER (PARTITION BY symbol) UNION ALL SELECT symbol, b FROM l) ON s = symbol AND bb = b",

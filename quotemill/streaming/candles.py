@@ -38,9 +38,3 @@ def write_candles(bars: DataFrame, path: str, checkpoint: str, trigger: dict | N
     by = [c for c in ("freq",) if c in bars.columns] + ["date"]
     out = bars.withColumn("date", F.to_date("ts")).writeStream.outputMode("append").partitionBy(*by)
     return out.option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
-
-
-def arrival_delay(bars: DataFrame, minutes: int = 1) -> DataFrame:
-    """Per bar start: delay of the first arrival after the bar's end, and spread of the arrivals, in seconds."""
-    end = F.unix_timestamp("ts") + 60 * minutes
-    return bars.groupBy("ts").agg(F.min(F.unix_timestamp("arrived") - end).alias("delay_s"), (F.max(F.unix_timestamp("arrived")) - F.min(F.unix_timestamp("arrived"))).alias("spread_s"))

@@ -7,9 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-_STATE = "day string, ts timestamp, open double, high double, low double, volume long"
-_LIVE = "symbol long, ts timestamp, open double, high double, low double, close double, volume long, day_open double, day_high double, day_low double, day_volume long"
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def active_only(bars: DataFrame, universe: DataFrame) -> DataFrame:
@@ -23,32 +21,6 @@ def write_active(bars: DataFrame, universe: Callable[[], DataFrame], write: Call
     return bars.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def _follow(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(frames), ignore_index=True).sort_values("ts", kind="stable")
-    held = state.get if state.exists else None
-    if held is not None:
-        new = new[new["ts"] > held[1]]
-    new = new.drop_duplicates("ts")
-    if new.empty:
-        return
-    days = new["ts"].dt.strftime("%Y-%m-%d")
-    for day, x in new.groupby(days):
-        before = held if held is not None and held[0] == day else None
-        x = x.assign(day_open=x["open"].iloc[0], day_high=x["high"].cummax(), day_low=x["low"].cummin(), day_volume=x["volume"].cumsum())
-        if before is not None:
-            x = x.assign(day_open=before[2], day_high=x["day_high"].clip(lower=before[3]), day_low=x["day_low"].clip(upper=before[4]), day_volume=x["day_volume"] + before[5])
-        end = x.iloc[-1]
-        held = (day, end["ts"].to_pydatetime(), float(end["day_open"]), float(end["day_high"]), float(end["day_low"]), int(end["day_volume"]))
-        yield x
-    state.update(held)
-
-
-def day_so_far(bars: DataFrame) -> DataFrame:
-    """Bars with the day's open, high, low and volume up to each. One small state a symbol, kept in the state
-    store and its checkpoint; it starts anew on a new date, and bars not later than the last one are dropped."""
-    return bars.select("symbol", "ts", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandasWithState(_follow, _LIVE, _STATE, "append", "NoTimeout")
-
-
 def with_features(bars: DataFrame, features: DataFrame) -> DataFrame:
     """Daily or fundamental features by symbol and date; ``features`` is a table, so each batch sees its present rows."""
     return bars.withColumn("date", F.to_date("ts")).join(features, ["symbol", "date"], "left")
@@ -79,6 +51,91 @@ def subscribed_values(bars: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return out.select("subscription_id", "symbol", "freq", "ts", F.map_filter(every, lambda k, v: F.array_contains("indicators", k)).alias("values"))
 
 
+def indicator_sets(subscriptions: DataFrame, most: int = 1000) -> list[tuple[str, tuple[str, ...]]]:
+    """The distinct pairs of frequency and asked-for indicators of one ``subscription_id, symbol, freq``; over ``most`` of them is an error."""
+    sets = _asked(subscriptions).select("freq", "indicators").distinct().limit(most + 1).collect()
+    if len(sets) > most:
+        raise ValueError(f"more than {most} different sets of indicators")
+    return sorted((r["freq"], tuple(r["indicators"])) for r in sets)
+
+
+def _asked(subscriptions: DataFrame) -> DataFrame:
+    """What each subscription to a symbol and frequency asks for, in order."""
+    every = F.array_sort(F.array_distinct(F.flatten(F.collect_list("indicators"))))
+    return subscriptions.groupBy("subscription_id", "symbol", "freq").agg(every.alias("indicators"))
+
+
+def subscribed_indicators(bars: dict[str, DataFrame], subscriptions: DataFrame, compute: Callable[[DataFrame, str, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """``subscription_id, symbol, freq, ts, values``, where only what is asked for is computed: subscriptions with the same frequency and set
+    of indicators are served together, from the ``bars`` of the frequency that have their symbols. ``compute(bars, freq, names)`` adds the columns ``names``."""
+    asked, parts = _asked(subscriptions), []
+    for freq, names in indicator_sets(subscriptions):
+        here = asked.filter((F.col("freq") == freq) & (F.col("indicators") == F.array(*map(F.lit, names)))).select("subscription_id", "symbol")
+        own = compute(bars[freq].join(here.select("symbol").distinct(), "symbol", "left_semi"), freq, names)
+        values = F.create_map(*[v for n in names for v in (F.lit(n), F.col(n).cast("double"))]) if names else F.create_map().cast("map<string,double>")
+        parts.append(own.join(here, "symbol").select("subscription_id", "symbol", F.lit(freq).alias("freq"), "ts", values.alias("values")))
+    if not parts:
+        raise ValueError("no subscription")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+class _Subscribers(StatefulProcessor):
+    """The subscribers of a symbol and unit, each a key of a map in the state store, and their number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.present = handle.getMapState("present", "subscriber long", "since timestamp")
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n = self.count.get()[0] if self.count.exists() else 0
+        out = []
+        for r in pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable").itertuples():
+            one = (int(r.subscriber),)
+            if bool(r.add) == self.present.containsKey(one):
+                continue
+            if r.add:
+                self.present.updateValue(one, (r.ts.to_pydatetime(),))
+            else:
+                self.present.removeKey(one)
+            n += 1 if r.add else -1
+            if n == (1 if r.add else 0):
+                out.append((key[0], key[1], r.ts, int(r.seq), "first" if r.add else "last"))
+        self.count.update((n,))
+        if out:
+            yield pd.DataFrame(out, columns=["symbol", "unit", "ts", "seq", "trigger"])
+
+    def close(self) -> None:
+        pass
+
+
+def live_triggers(changes: DataFrame) -> DataFrame:
+    """As ``subscription_triggers``, in a stream of changes that come in the order of time: counts and members are kept across batches."""
+    rows = changes.select("symbol", "unit", "subscriber", "ts", "seq", "add").groupBy("symbol", "unit")
+    return rows.transformWithStateInPandas(_Subscribers(), "symbol long, unit string, ts timestamp, seq long, trigger string", "Append", "None")
+
+
+def unseen_stream(headlines: DataFrame, late: str = "1 day") -> DataFrame:
+    """Headlines of a stream whose title is new for the symbol on its day. The state has a digest of each title, and drops it ``late`` after its day's rows."""
+    key = headlines.withColumns({"_day": F.to_date("published_at"), "_title": F.md5(F.col("title").cast("binary"))})
+    return key.withWatermark("published_at", late).dropDuplicatesWithinWatermark(["symbol", "_day", "_title"]).drop("_day", "_title")
+
+
+def arrival_spread_stream(arrivals: DataFrame, seconds: int, late: str = "1 minute") -> DataFrame:
+    """As ``quality.arrival_spread``, in a stream: a bar start is given out when the newest one is ``late`` past it, and arrivals after that are ignored."""
+    first, last = (F.unix_timestamp(f("arrived")) for f in (F.min, F.max))
+    return arrivals.withWatermark("ts", late).groupBy("ts").agg((first - F.unix_timestamp("ts") - seconds).alias("delay_s"), (last - first).alias("spread_s"))
+
+
+def delivery_latency_stream(processed: DataFrame, seconds: int = 60, late: str = "1 minute", accuracy: int = 10_000) -> DataFrame:
+    """As ``quality.delivery_latency``, in a stream, with quantiles of a sketch: their rank is right within 1 / ``accuracy``."""
+    delay = F.unix_timestamp("processed") - F.unix_timestamp("ts") - seconds
+    ends = [F.percentile_approx(delay, q, accuracy).cast("double").alias(n) for q, n in ((0.5, "median_s"), (0.95, "p95_s"))]
+    return processed.withWatermark("ts", late).groupBy("ts").agg(F.max(delay).alias("last_s"), F.count("*").alias("n"), *ends)
+
+
 def subscription_triggers(changes: DataFrame) -> DataFrame:
     """``symbol, unit, ts, seq, trigger``: the changes with which a symbol and unit gets its first subscriber (``first``)
     or loses its last one (``last``). An addition of a present subscriber and a removal of an absent one change nothing."""

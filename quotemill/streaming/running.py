@@ -13,12 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quotemill.functions.time import clock, time_of_day
 from quotemill.operators import scanners
+from quotemill.operators.blocks import average_range
 from quotemill.operators.indicators import NAMES, OPEN
 from quotemill.sources.storage import shared_folder
 
+_COLUMNS = ["symbol", "ts", "open", "high", "low", "close", "volume"]
 _BAR = "symbol long, ts timestamp, open double, high double, low double, close double, volume double"
 
 
@@ -57,11 +60,15 @@ def _average_range(x: pd.DataFrame, q: float, close, num: float, den: float):
     before = np.concatenate([[np.nan if close is None else close], x["close"].to_numpy(float)[:-1]])
     high, low = x["high"].to_numpy(float), x["low"].to_numpy(float)
     spans = pd.DataFrame({"a": np.abs(high - low), "b": np.abs(high - before), "c": np.abs(low - before)}).max(axis=1).to_numpy()
-    out = np.full(len(x), np.nan)
-    for i, tr in enumerate(spans):
-        num, den = (num * q, den * q) if tr != tr else (num * q + tr, den * q + 1)
-        out[i] = num / den if den > 0 else np.nan
-    return out, num, den
+    nums, dens = (_decayed_sums(v, q, held) for v, held in ((np.nan_to_num(spans), num), ((~np.isnan(spans)).astype(float), den)))
+    with np.errstate(all="ignore"):
+        return np.where(dens > 0, nums / dens, np.nan), float(nums[-1]), float(dens[-1])
+
+
+def _decayed_sums(v: np.ndarray, q: float, held: float) -> np.ndarray:
+    """``s_i = q s_(i-1) + v_i`` after ``held``, as a mean with weight 1 - q times its scale."""
+    a = 1 - q
+    return pd.Series(np.concatenate([[a * held], v])).ewm(alpha=a, adjust=False).mean().to_numpy()[1:] / a if q > 0 else v
 
 
 def advance(new: pd.DataFrame, held: tuple | None, want: Running) -> tuple[pd.DataFrame | None, tuple | None]:
@@ -101,46 +108,71 @@ def advance(new: pd.DataFrame, held: tuple | None, want: Running) -> tuple[pd.Da
     return pd.concat(parts), held
 
 
-def running(bars: DataFrame, want: Running, warm: DataFrame | None = None) -> DataFrame:
-    """Bars with the running values of ``want``, in a stream of ``symbol, ts`` and bars.
+class _Processor(StatefulProcessor):
+    """One state variable a symbol; the first state comes from the snapshot, read once when the query first starts."""
 
-    Values of a day start anew on a new date; bars not later than a symbol's last one are dropped. A stream keeps the state in its
-    checkpoint. ``warm``: the bars before the stream's start, of which each symbol's state is made if it has none yet."""
-    cols = ["symbol", "ts", "open", "high", "low", "close", "volume"]
-    state, out = want.state(), ", ".join([_BAR, *[f"{n} double" for n in want.names()]])
-    columns = [*cols, *want.names()]
-    bars = bars.select(*cols)
-    if warm is not None:
-        bars = bars.join(snapshot(warm, want), "symbol", "left")
-
-    def follow(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(frames), ignore_index=True)
-        before = held.get if held.exists else _seed(new["seed"].iloc[0]) if "seed" in new else None
-        rows, after = advance(new[cols], before, want)
+    def __init__(self, want: Running):
+        self.want = want
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("running", self.want.state())
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803  names of the interface
+        names = [f.split(" ")[0] for f in self.want.state().split(", ")]
+        self.held.update(tuple(_plain(initialState[n].iloc[0]) for n in names))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = tuple(self.held.get()) if self.held.exists() else None
+        out, after = advance(pd.concat(list(rows), ignore_index=True)[_COLUMNS], before, self.want)
         if after is not None:
-            held.update(after)
-        if rows is not None:
-            yield rows[columns]
+            self.held.update(after)
+        if out is not None:
+            yield out[[*_COLUMNS, *self.want.names()]]
+
+    def close(self) -> None:
+        pass
 
-    return bars.groupBy("symbol").applyInPandasWithState(follow, out, state, "append", "NoTimeout")
 
+def running(bars: DataFrame, want: Running, warm: DataFrame | None = None) -> DataFrame:
+    """Bars with the running values of ``want``, in a stream of ``symbol, ts`` and bars.
 
-def _seed(v) -> tuple | None:
-    if v is None or (isinstance(v, float) and v != v):
-        return None
-    v = list(v.values()) if isinstance(v, dict) else list(v)
-    return (v[0], pd.Timestamp(v[1]).to_pydatetime(), *[list(e) if isinstance(e, list | np.ndarray) else _clean(e) for e in v[2:]])
+    Values of a day start anew on a new date; bars not later than a symbol's last one are dropped. The state of each symbol is a variable of the
+    state store (RocksDB, see ``start``), kept by the stream's checkpoint: a restart goes on from there. ``warm``: bars before the stream's start, whose ``snapshot`` is
+    the initial state; it is read when the query first starts and by no later batch."""
+    out = ", ".join([_BAR, *[f"{n} double" for n in want.names()]])
+    initial = None if warm is None else snapshot(warm, want).groupBy("symbol")
+    return bars.select(*_COLUMNS).groupBy("symbol").transformWithStateInPandas(_Processor(want), out, "Append", "None", initial)
 
 
-def snapshot(bars: DataFrame, want: Running) -> DataFrame:
-    """``symbol, seed``: the state after the given bars. Of one symbol they should be some days, which one task takes in."""
+def _plain(v):
+    """A value of a pandas row as the state holds it."""
+    if isinstance(v, list | np.ndarray):
+        return [_clean(e) for e in v]
+    if isinstance(v, str) or v is None:
+        return v
+    return None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else float(v)
 
-    def last(x: pd.DataFrame) -> pd.DataFrame:
-        _, held = advance(x, None, want)
-        return pd.DataFrame({"symbol": [x["symbol"].iloc[0]], **{f: [v] for f, v in zip((f.split(" ")[0] for f in want.state().split(", ")), held, strict=True)}})
 
-    flat = bars.select("symbol", "ts", "open", "high", "low", "close", "volume").groupBy("symbol").applyInPandas(last, f"symbol long, {want.state()}")
-    return flat.select("symbol", F.struct(*[c for c in flat.columns if c != "symbol"]).alias("seed"))
+def snapshot(bars: DataFrame, want: Running) -> DataFrame:
+    """``symbol`` and the state after its last bar, as ``advance`` would hold it, by the batch operators: aggregates of the last day and
+    a prefix scan over the history."""
+    bars = bars.select(*_COLUMNS).withColumn("date", F.to_date("ts"))
+    time, early = time_of_day(F.col("ts")), time_of_day(F.col("ts")) < OPEN
+    runs = [getattr(F, op)(F.when(early, F.col(c)) if before else F.col(c)).cast("double").alias(f"s{i}") for i, (_, c, op, before) in enumerate(want.sums())]
+    tail = lambda c, n: F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ts", F.col(c).cast("double").alias("v")))), -n, n), lambda e: e["v"])
+    whole = lambda c, n: F.when(F.count("*") >= n, tail(c, n)).otherwise(F.transform(F.array_sort(F.collect_list(F.struct("ts", F.col(c).cast("double").alias("v")))), lambda e: e["v"]))
+    tails = [whole(c, n).alias(f"l{i}") for i, (c, n) in enumerate(want.depth().items())]  # of one day's bars
+    regular = F.when((time >= OPEN) & (time < clock("16:00")) & F.col("open").isNotNull(), F.col("ts"))
+    last_day = bars.join(bars.groupBy("symbol").agg(F.max("date").alias("date")), ["symbol", "date"])
+    out = last_day.groupBy("symbol").agg(
+        F.date_format(F.max("date"), "yyyy-MM-dd").alias("day"), F.max("ts").cast("timestamp").alias("ts"), F.min_by("open", regular).cast("double").alias("day_open"), F.max_by("close", "ts").cast("double").alias("close"), *runs, *tails
+    )
+    if want.atr:
+        sums = average_range(bars, want.atr, "_mean", F.date_trunc("month", "ts"), sums=True)
+        out = out.join(sums.groupBy("symbol").agg(F.max_by("_num", "ts").alias("num"), F.max_by("_den", "ts").alias("den")), "symbol")
+    else:
+        out = out.withColumns({"num": F.lit(0.0), "den": F.lit(0.0)})
+    return out.select("symbol", *[f.split(" ")[0] for f in want.state().split(", ")])
 
 
 def _parabolic(side: str, col: str, extreme: str):
@@ -183,23 +215,45 @@ def marked(name: str, bars: DataFrame, days: DataFrame, start: str = "04:00", en
     return out.withColumns(values).withColumn("passed", scanners.passed(rule)).drop("_known")
 
 
+def start(stream: DataFrame, path: str, trigger: dict | None = None):
+    """A query that appends to ``path/rows`` and keeps its state under ``path/checkpoint``; started again on the same path, it goes on.
+    Timers of wall clock never let ``availableNow`` end; such a stream takes ``{"once": True}``."""
+    spark, key = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # a query takes the settings it starts with
+    try:
+        return stream.writeStream.option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def to_table(stream: DataFrame, trigger: dict | None = None) -> DataFrame:
-    """What a stream gives for the rows there are now, as a table in the shared folder. Timers of wall clock never let
-    ``availableNow`` end; such a stream takes ``{"once": True}``."""
-    spark = stream.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    q = stream.writeStream.option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
-
-
-def replay(bars: DataFrame, files: int = 8) -> DataFrame:
-    """A table of bars as a stream of files. All bars of a symbol lie in one file, in the order of time."""
-    spark = bars.sparkSession
+    """What a stream gives for the rows there are now, as a table in the shared folder."""
+    path = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    start(stream, path, trigger).awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def replay(rows: DataFrame, batches: int = 5, most: int = 2_000_000, at: str = "ts") -> DataFrame:
+    """A table as a stream of files, each with the rows of one stretch of time, read one file a micro-batch in that order. There are
+    ``batches`` stretches, and more if one would have over some ``most`` rows."""
+    spark = rows.sparkSession
     path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    bars = bars.withColumn("ts", F.col("ts").cast("timestamp"))
-    bars.repartition(files, "symbol").sortWithinPartitions("symbol", "ts").write.parquet(path)
-    return spark.readStream.schema(bars.schema).parquet(path)
+    rows = rows.withColumn(at, F.col(at).cast("timestamp"))
+    seconds = F.unix_micros(at) / 1e6
+    n, low, high = rows.agg(F.count("*"), F.min(seconds), F.max(seconds)).first()
+    batches = max(batches, -(-n // most))
+    edges = rows.select(seconds.alias("s")).approxQuantile("s", [k / batches for k in range(1, batches)], 1 / (20 * batches)) if n else []
+    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= seconds)) if edges else F.lit(0)
+    rows.withColumn("stretch", stretch).repartition("stretch").write.partitionBy("stretch").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.listFiles(folder, True)
+    while found.hasNext():  # a file a stretch: their times give the order in which a stream takes them
+        one = found.next().getPath()
+        if one.getName().endswith(".parquet"):
+            files.setTimes(one, (1_600_000_000 + 60 * int(one.getParent().getName().split("=")[1])) * 1000, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/stretch=*")
 
 
 def matches(name: str, bars: DataFrame, days: DataFrame, freq: str, **params) -> DataFrame:

@@ -16,12 +16,6 @@ def bar(symbol, day, minute, open_, high, low, close, volume):
     return (symbol, dt.datetime(2024, 1, day, 10, minute), float(open_), float(high), float(low), float(close), volume)
 
 
-def drain(stream, tmp_path, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    return q
-
-
 def test_scores(spark):
     texts = [
         ('noise [{"idx": 0, "confidence": 55.9}, {"idx": 9, "confidence": 5}] more', 3), ('[{"idx": "1", "confidence": 5}, {"idx": 2, "confidence": 101}]', 3),
@@ -80,22 +74,6 @@ def test_reports_are_not_overwritten(spark, tmp_path):
     assert storage.export_report(df, str(tmp_path)) != path and spark.read.option("header", True).csv(path).count() == 2
 
 
-def test_day_so_far_over_batches(spark, tmp_path):
-    source = str(tmp_path / "in")
-    first = [bar(1, 2, 0, 10, 12, 9, 11, 5), bar(1, 2, 1, 11, 11, 8, 9, 7), bar(2, 2, 0, 1, 2, 1, 2, 1)]
-    then = [bar(1, 2, 2, 9, 10, 9, 10, 1), bar(1, 2, 1, 0, 99, 0, 0, 9), bar(1, 3, 0, 20, 21, 19, 20, 4)]  # a late bar, a new day
-    spark.createDataFrame(first, BARS).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(BARS).parquet(source)
-    drain(live.day_so_far(stream), tmp_path, "so_far")
-    got = {(r["symbol"], r["ts"]): (r["day_open"], r["day_high"], r["day_low"], r["day_volume"]) for r in spark.table("so_far").collect()}
-    assert got[1, dt.datetime(2024, 1, 2, 10, 1)] == (10, 12, 8, 12) and len(got) == 3
-    spark.createDataFrame(then, BARS).coalesce(1).write.mode("append").parquet(source)
-    q = live.day_so_far(spark.readStream.schema(BARS).parquet(source)).writeStream.foreachBatch(lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out"))).option("checkpointLocation", str(tmp_path / "so_far")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    got = {r["ts"]: (r["day_open"], r["day_high"], r["day_low"], r["day_volume"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {dt.datetime(2024, 1, 2, 10, 2): (10, 12, 8, 13), dt.datetime(2024, 1, 3, 10, 0): (20, 21, 19, 4)}
-
-
 def test_universe_scan_and_subscriptions(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([bar(1, 2, 0, 10, 12, 9, 11, 5), bar(2, 2, 3, 10, 12, 9, 9, 5)], BARS).write.parquet(source)
