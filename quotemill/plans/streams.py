@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from quotemill.operators import candles, listings, quality, registry, scanners
 from quotemill.operators.indicators import Daily
 from quotemill.plans import queries as q
 from quotemill.plans.queries import D1, FEATURES, H1, ORACLES, SHIPMENTS, TRADES, _CAL, _STREAM, _VOL, _ewm, _features, _out, _register
-from quotemill.sources import model
+from quotemill.sources import model, storage, store
 from quotemill.streaming import buckets, live, running
 from quotemill.streaming import candles as feed
 from quotemill.streaming import indicators as live_forms
@@ -302,3 +303,51 @@ def stream_complete_bars(spark, sf_dir):
     """5h bars with their last hour or the first one of a later bucket; the newest open bucket of a symbol is not out yet."""
     out = running.to_table(buckets.complete_bars(running.replay(model.bars(spark, sf_dir).drop("date")), "5h", "1h"), {"once": True})
     return _out(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "symbol", "ts", *candles.OHLC, "volume")
+
+
+# ---- storage
+
+
+def _folder(spark) -> str:
+    return f"{storage.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+_WEEKS = "w AS (SELECT symbol, strftime(date_trunc('week', ts), '%Y-%m-%d') AS key, date_trunc('week', ts)::DATE + 6 AS last, ts, open, high, low, close, volume FROM (SELECT symbol, b AS ts, open, high, low, close, volume FROM m))"
+
+
+@_register(
+    "store_manifest", "SELECT symbol, key, count(*) AS n, CASE WHEN last >= DATE '2024-01-20' THEN DATE '2024-01-21' END AS expires FROM w GROUP BY ALL",
+    TRADES, q._bars("m", "time_bucket(INTERVAL '15 minutes', ts)"), _WEEKS,
+)
+def store_manifest(spark, sf_dir):
+    """The manifest of 15min bars after a refresh, and a second one that finds nothing but the newest weeks to do."""
+    s = store.BarStore(spark, _folder(spark), "15min")
+    bars, today = model.bars(spark, sf_dir, "15min").drop("date"), datetime.date(2024, 1, 20)
+    s.refresh(bars, today)
+    return s.refresh(bars, today).select("symbol", "key", "n", "expires")
+
+
+@_register(
+    "store_bars", "SELECT symbol, key, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume + CASE WHEN strftime(date_trunc('week', mx), '%Y-%m-%d') = key THEN 1 ELSE 0 END AS volume FROM w JOIN (SELECT symbol, max(ts) AS mx FROM w GROUP BY 1) USING (symbol)",
+    TRADES, q._bars("m", "time_bucket(INTERVAL '15 minutes', ts)"), _WEEKS,
+)
+def store_bars(spark, sf_dir):
+    """The bars that count after a second refresh from changed base bars: weeks that are closed stay as they were."""
+    s = store.BarStore(spark, _folder(spark), "15min", 64)
+    bars = model.bars(spark, sf_dir, "15min").drop("date")
+    s.refresh(bars, datetime.date(2030, 1, 1))
+    s.refresh(bars.withColumn("volume", F.col("volume") + 1), datetime.date(2030, 1, 1))
+    return _out(s.read(), "symbol", "key", "ts", *candles.OHLC, "volume")
+
+
+@_register("stream_sink", "SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM bars", *H1)
+def stream_sink(spark, sf_dir):
+    """Bars that a stream wrote, after one of its batches was tried again and half of the days were compacted."""
+    path, bars = _folder(spark), model.bars(spark, sf_dir).drop("date")
+    schema = "symbol long, ts timestamp_ntz, open double, high double, low double, close double, volume long"
+    stream = running.replay(bars).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("freq", F.lit("1h"))
+    store.write_once(stream, path, f"{path}/checkpoint", {"availableNow": True}).awaitTermination()
+    store.write_batch(spark.read.schema(f"{schema}, freq string, date date, batch long").parquet(f"{path}/rows").filter("batch = 2").drop("date", "batch"), path, 2)
+    store.compact(spark, path, schema, datetime.date(2024, 1, 15))
+    store.drop_packed(spark, path, schema)
+    return _out(store.read_sink(spark, path, schema), "symbol", "ts", *candles.OHLC, "volume")

@@ -18,13 +18,17 @@ BARS = "symbol long, ts timestamp_ntz, open double, high double, low double, clo
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``; without it only a session on one machine gets one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None and spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if path is None:
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return path
+    where = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(where)
+    return where
 
 
 def write_bars(bars: DataFrame, path: str, freqs: list[str], files: int = 8, fmt: str = "parquet") -> None:
@@ -43,7 +47,7 @@ def backfill(bars: DataFrame, path: str, freqs: list[str], first, end) -> None:
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = BARS) -> tuple[DataFrame, DataFrame]:
     """``bars, bad``: readable bars, and the text rows that do not fit the schema, with what was read of ``symbol`` (their partitions are to be
-    fetched again). Corrupt Parquet files are passed over; their partitions then lack rows and count as missing."""
+    fetched again). Corrupt Parquet files are passed over; ``BarStore.damaged`` names what they held."""
     columns = f"{schema}, freq string, key string"
     if fmt == "parquet":
         df = spark.read.schema(columns).option("ignoreCorruptFiles", True).parquet(path)

@@ -19,6 +19,7 @@ QUERIES_WITH_SQL = [
     "indicators_by_name", "prev_day_calendar", "daily_anchored", "atr_5h", "market_open", "next_session_time", "covering_ranges", "active_by_exchange", "dq_source_issues", "dq_duplicate_times",
     "dq_issue_details", "score_changes", "score_totals", "candle_events", "subscription_triggers", "subscribed_values", "stream_scan_atr_gap_up", "stream_scan_atr_parabolic_down", "stream_scan_low_range_gap_down",
     "stream_scan_small_cap_up", "stream_indicators", "stream_complete_bars", "stream_live_forms", "stream_warm_start", "stream_subscription_triggers", "stream_unseen_headlines", "stream_delivery_latency", "subscribed_sets",
+    "store_manifest", "stream_sink",
 ]
 
 
