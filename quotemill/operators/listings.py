@@ -65,9 +65,38 @@ def news_confidence(scored: DataFrame) -> DataFrame:
     return scored.withColumn("news_confidence", F.max("score").over(day))
 
 
+_SPLITS = "array<struct<execution_date:date,historical_adjustment_factor:double,split_from:double,split_to:double>>"
+
+
+def load_splits(raw: DataFrame, col: str = "value") -> DataFrame:
+    """``symbol, execution_date, split_from, split_to, factor`` of rows with a JSON map from symbols to lists of splits. Text that is no such map gives
+    no rows, and neither does a split without a date; a map of any size may be cut into rows, a part of the symbols each."""
+    maps = raw.select(F.explode(F.from_json(col, f"map<string,{_SPLITS}>")).alias("symbol", "splits"))
+    out = maps.select("symbol", F.inline("splits")).filter("execution_date IS NOT NULL")
+    return out.select("symbol", "execution_date", "split_from", "split_to", F.col("historical_adjustment_factor").alias("factor"))
+
+
+def dump_splits(splits: DataFrame) -> DataFrame:
+    """``value``: the JSON map of each symbol, as ``load_splits`` reads it, in the order of dates."""
+    names = ["execution_date", "historical_adjustment_factor", "split_from", "split_to"]
+    rows = splits.withColumnRenamed("factor", "historical_adjustment_factor") if "factor" in splits.columns else splits.withColumn("historical_adjustment_factor", F.lit(None).cast("double"))
+    lists = rows.filter("symbol IS NOT NULL").groupBy(F.col("symbol").cast("string").alias("symbol")).agg(F.array_sort(F.collect_list(F.struct(*names))).alias("splits"))  # some splits a symbol
+    return lists.select(F.to_json(F.create_map("symbol", "splits")).alias("value"))
+
+
+def on_day(headlines: DataFrame, day: datetime.date, zone: str = "America/New_York", at: str = "published_at") -> DataFrame:
+    """Headlines of one local date of ``zone``. Times without a zone are UTC; instants are what they are; NULL is on no day."""
+    naive = dict(headlines.dtypes)[at] == "timestamp_ntz"
+    utc = F.col(at) if naive else F.col(at).cast("timestamp_ntz")
+    local = F.convert_timezone(F.lit("UTC") if naive else F.current_timezone(), F.lit(zone), utc)
+    return headlines.filter(F.to_date(local) == F.lit(day))
+
+
 def mentions(headlines: DataFrame) -> DataFrame:
-    """Headlines that name their symbol, in any case."""
-    return headlines.filter(F.contains(F.upper("title"), F.upper("symbol")))
+    """Headlines that name their symbol in the title, or in the ``summary`` if there is one, in any case; NULLs count as empty. A name across the two counts, as
+    they are joined by a space."""
+    text = [F.coalesce(c, F.lit("")) for c in ("title", "summary") if c in headlines.columns]
+    return headlines.filter(F.contains(F.upper(F.concat_ws(" ", *text)), F.upper("symbol")))
 
 
 def new_headlines(headlines: DataFrame, scored: DataFrame) -> DataFrame:

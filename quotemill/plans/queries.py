@@ -297,8 +297,7 @@ def round_robin_headlines(spark, sf_dir):
 
 @_register("headlines_today", "SELECT symbol, published_at FROM head WHERE (published_at AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York')::DATE = DATE '2024-01-10'", _HEAD)
 def headlines_today(spark, sf_dir):
-    local = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), "published_at"))
-    return model.headlines(spark, sf_dir).filter(local == F.lit("2024-01-10").cast("date")).select("symbol", "published_at")
+    return listings.on_day(model.headlines(spark, sf_dir), datetime.date(2024, 1, 10)).select("symbol", "published_at")
 
 
 @_register("score_thresholds", "SELECT source, count(*) AS n, count(*) FILTER (s > 50) AS kept, count(*) FILTER (s >= 50) AS ge_50, count(*) FILTER (s >= 75) AS ge_75, count(*) FILTER (s >= 90) AS ge_90 FROM (SELECT source, n_chars % 101 AS s FROM documents) GROUP BY 1")
@@ -504,6 +503,24 @@ def splits_merge(spark, sf_dir):
     return listings.merge_splits(s.filter("execution_date < date'1997-07-01'"), s.filter("split_to > 2"))
 
 
+@_register("splits_load", "SELECT symbol::VARCHAR AS symbol, e AS execution_date, split_from::DOUBLE AS split_from, split_to::DOUBLE AS split_to, count(*) AS n FROM splits GROUP BY ALL", _PART_SPLITS)
+def splits_load(spark, sf_dir):
+    """Splits as they come back from their JSON map."""
+    s = model.splits(spark, sf_dir)
+    raw = listings.dump_splits(s.select("symbol", "execution_date", F.col("split_from").cast("double").alias("split_from"), F.col("split_to").cast("double").alias("split_to")))
+    return listings.load_splits(raw).groupBy("symbol", "execution_date", "split_from", "split_to").agg(F.count("*").alias("n"))
+
+
+@_register(
+    "headline_summary_mentions", "SELECT doc_id FROM (SELECT doc_id, lang, coalesce(string_split(text, chr(10))[1], '') AS title, coalesce(array_to_string(string_split(text, chr(10))[2:], chr(10)), '') AS summary FROM documents) WHERE contains(upper(title || ' ' || summary), upper(lang))",
+)
+def headline_summary_mentions(spark, sf_dir):
+    """The first line of a text is its title, all others are its summary."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    d = model.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("symbol"), F.get(lines, F.lit(0)).alias("title"), F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("summary"))
+    return listings.mentions(d).select("doc_id")
+
+
 @_register(
     "earnings_merge", "SELECT symbol, o.date FROM earn o LEFT JOIN f USING (symbol) WHERE a IS NULL OR o.date < a UNION ALL SELECT * FROM n", *_FUND,
     "n AS (SELECT DISTINCT o_custkey % 100 AS symbol, o_orderdate::DATE AS date FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderdate >= TIMESTAMP '1997-01-01')", "f AS (SELECT symbol, min(date) AS a FROM n GROUP BY 1)",
@@ -600,10 +617,10 @@ def fundamentals_parse(spark, sf_dir):
     "SELECT page_id, k::INT AS pos, CASE WHEN k >= 2 THEN 'Jan-03-24' WHEN page_id % 2 = 0 THEN 'Jan-02-24' END AS date, url || ' & ' || k AS title FROM pages, range(4) t(k) WHERE url IS NOT NULL",
 )
 def page_headlines(spark, sf_dir):
-    """The news tables are derived from the pages' addresses."""
+    """No given page has a news table: one derived from the page's address follows each page's own html."""
     cell = lambda k: F.when((k == 0) & (F.col("page_id") % 2 == 0), "Jan-02-24 09:30AM").when(k == 2, "Jan-03-24 08:00AM").otherwise("10:00AM")
     rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.concat(F.lit('<tr><td width="130"> '), cell(k), F.lit('</td><td><a class="tab-link-news" href="#">'), "url", F.lit(" &amp; "), k.cast("string"), F.lit("</a></td></tr>")))
-    html = F.concat(F.lit('<table><tr><td>x</td></tr></table><table id="news-table">'), F.array_join(rows, "\n"), F.lit("</table>"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<table><tr><td>x</td></tr></table><table id="news-table">'), F.array_join(rows, "\n"), F.lit("</table>"))
     return parsing.page_headlines(model.table(spark, sf_dir, "pages").withColumn("html", html))
 
 

@@ -40,6 +40,12 @@ def write_bars(bars: DataFrame, path: str, freqs: list[str], files: int = 8, fmt
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("freq", "key").format(fmt).save(path)
 
 
+def bucketed_table(bars: DataFrame, name: str, buckets: int = 64, order: str = "ts") -> None:
+    """``bars`` as the table ``name``, one sorted file a bucket of symbols. With ``spark.sql.requireAllClusterKeysForCoPartition`` false, scans join
+    their days and run their windows by day on it without shuffling a bar."""
+    bars.repartition(buckets, "symbol").write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", order).saveAsTable(name)
+
+
 def backfill(bars: DataFrame, path: str, freqs: list[str], first, end) -> None:
     """All frequencies for all symbols over [first, end), in one scan of the base bars."""
     write_bars(resample_multi(bars.filter((F.col("ts") >= F.lit(first)) & (F.col("ts") < F.lit(end))), freqs), path, freqs)

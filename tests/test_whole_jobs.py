@@ -2,7 +2,7 @@
 
 import datetime
 
-from quotemill.operators import candles, quality, scanners
+from quotemill.operators import candles, listings, quality, scanners
 from quotemill.plans import queries
 from quotemill.sources import model
 
@@ -54,3 +54,35 @@ def test_headlines_are_whole_lines(spark, tmp_path):
     run = lambda name: dict(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
     assert run("new_headlines") == {1: 2, 2: 1}
     assert run("headline_mentions") == {0: 1, 1: 2, 2: 1}
+
+
+def test_split_maps(spark):
+    good = '{"A": [{"execution_date": "2020-08-31", "historical_adjustment_factor": 0.25, "split_from": 1, "split_to": 4}, {"execution_date": null, "split_from": 1, "split_to": 2}], "B": [], "C": [{"execution_date": "2021-01-04", "split_from": 10, "split_to": 1}]}'
+    raw = spark.createDataFrame([(good,), ("no map",), (None,), ("{}",), ('["list"]',)], "value string")
+    got = listings.load_splits(raw)
+    rows = [("A", datetime.date(2020, 8, 31), 1.0, 4.0, 0.25), ("C", datetime.date(2021, 1, 4), 10.0, 1.0, None)]
+    assert sorted(map(tuple, got.collect())) == rows
+    assert sorted(map(tuple, listings.load_splits(listings.dump_splits(got)).collect())) == rows
+    assert listings.load_splits(raw.limit(0)).isEmpty() and listings.dump_splits(got.limit(0)).isEmpty()
+
+
+def test_headlines_of_a_local_day(spark):
+    at = [datetime.datetime(2024, 1, 10, 4, 59), datetime.datetime(2024, 1, 10, 5), datetime.datetime(2024, 1, 11, 4, 59), datetime.datetime(2024, 1, 11, 5), None]
+    day = datetime.date(2024, 1, 10)
+    naive = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, published_at timestamp_ntz")
+    assert [r["i"] for r in listings.on_day(naive, day).orderBy("i").collect()] == [1, 2]
+    assert [r["i"] for r in listings.on_day(naive, day, "UTC").orderBy("i").collect()] == [0, 1]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    instants = naive.withColumn("published_at", (naive["published_at"].cast("string")).cast("timestamp"))  # in UTC, the session's zone
+    try:
+        plan = listings.on_day(instants, day).orderBy("i")
+        assert [r["i"] for r in plan.collect()] == [1, 2]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_mentions_in_titles_and_summaries(spark):
+    rows = [(0, "ab", "Of Ab today", None), (1, "ab", None, "an aB"), (2, "ab", "a", "b"), (3, "a b", "xa", "by"), (4, None, "ab", "ab"), (5, "ab", None, None)]
+    df = spark.createDataFrame(rows, "i int, symbol string, title string, summary string")
+    assert [r["i"] for r in listings.mentions(df).orderBy("i").collect()] == [0, 1, 3]
+    assert [r["i"] for r in listings.mentions(df.drop("summary")).orderBy("i").collect()] == [0]
