@@ -40,7 +40,7 @@ def features(text: str | None) -> list[float]:
     stutter = sum(map(str.__eq__, w, w[1:])) / n
     grams = len(set(zip(w, w[1:], w[2:], strict=False)))
     x = [
-        (chars - len(text.translate(_KEEP))) / chars,
+        (len(text) - len(text.translate(_KEEP))) / chars,
         (text.count("!!") + text.count("??")) / n,
         sum(map(str.isupper, w)) / n,
         text.count(" | ") / n,

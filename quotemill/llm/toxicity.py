@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quotemill.llm.quality_classifier import sample_labels
 
 SAMPLE_DOCS = 8000
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
 MIN_DOCS, MIN_ODDS = 4, 3.0
 CUT = 0.3
 
