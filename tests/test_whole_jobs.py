@@ -86,3 +86,17 @@ def test_mentions_in_titles_and_summaries(spark):
     df = spark.createDataFrame(rows, "i int, symbol string, title string, summary string")
     assert [r["i"] for r in listings.mentions(df).orderBy("i").collect()] == [0, 1, 3]
     assert [r["i"] for r in listings.mentions(df.drop("summary")).orderBy("i").collect()] == [0]
+
+
+def test_mentions_in_full_capitals_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    found = [("Straße", "ss"), ("STRASSE", "ß"), ("eße\nx", "es"), ("ﬁn", "fi"), ("ŉ", "N"), ("ɤ", "\ua7cb"), ("a\nb", None), ("a", "b")]
+    found += [(f"x{c}y\nz", capital) for c, capital in queries._CAPITALS.items()]
+    spark.createDataFrame([(i, *r, 1) for i, r in enumerate(found)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("headline_mentions", "headline_summary_mentions"):
+        got = sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(con.sql(queries.ORACLES[name]).fetchall())
+        assert [r[0] for r in got] == [i for i in range(len(found)) if i not in (6, 7)]
