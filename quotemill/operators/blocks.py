@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def spine(daily: DataFrame, target: DataFrame) -> DataFrame:
-    """Daily bars and, for every symbol, the target's last date if it has no bar yet (with NULL values)."""
+    """Daily bars and, for every symbol, the target's last date if it has no bar yet (with NULL values). Days that are their own
+    target have a bar there, only an unknown symbol equals none: they are not computed again to be compared with themselves."""
+    if target is daily:
+        return daily.unionByName(daily.filter("symbol IS NULL").groupBy("symbol").agg(F.max("date").alias("date")), allowMissingColumns=True)
     last = target.groupBy("symbol").agg(F.max("date").alias("date"))
     return daily.unionByName(last.join(daily.select("symbol", "date"), ["symbol", "date"], "left_anti"), allowMissingColumns=True)
 

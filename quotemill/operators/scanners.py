@@ -14,6 +14,7 @@ from quotemill.functions.time import seconds
 from quotemill.operators import fundamental
 from quotemill.operators.candles import session_filter, session_offset
 from quotemill.operators.indicators import Daily, cumulative, cumulative_daily_volume, premarket_cumulative, shift
+from quotemill.sources.storage import written
 
 
 def between(value: Column, low=None, high=None) -> Column:
@@ -44,14 +45,16 @@ def day_bounds(
     min_days_since_ipo: int | None = None, min_days_from_earnings: int | None = None, max_days_from_earnings: int | None = None, days_of_week: list[int] | None = None,
 ) -> DataFrame:
     """The days (rows with ``symbol, date``) within the bounds. An unknown market cap passes only if asked for, an unknown listing
-    date passes, and unknown earnings fail where a bound is set."""
+    date passes, and unknown earnings fail where a bound is set. As-of joins read their days more than once, so these are written before."""
     names = days.columns
     if days_of_week is not None:
         days = weekday_filter(days, days_of_week)
-    if min_market_cap is not None or max_market_cap is not None:
-        days = market_cap_filter(fundamental.market_cap(days, caps), min_market_cap, max_market_cap, include_null_market_cap)
     if min_days_since_ipo is not None:
         days = ipo_filter(fundamental.days_since_ipo(days, static), min_days_since_ipo)
+    if not all(b is None for b in (min_market_cap, max_market_cap, min_days_from_earnings, max_days_from_earnings)):
+        days = written(days)
+    if min_market_cap is not None or max_market_cap is not None:
+        days = market_cap_filter(fundamental.market_cap(days, caps), min_market_cap, max_market_cap, include_null_market_cap)
     if min_days_from_earnings is not None or max_days_from_earnings is not None:
         days = fundamental.days_from_earnings(days, earnings).filter(between(F.col("days_from_earnings"), min_days_from_earnings, max_days_from_earnings))
     return days.select(*names)

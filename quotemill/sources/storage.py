@@ -31,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, for plans that read them more than once."""
+    path = f"{shared_folder(rows.sparkSession)}/rows-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_bars(bars: DataFrame, path: str, freqs: list[str], files: int = 8, fmt: str = "parquet") -> None:
     """``bars`` (with ``freq``) under ``freq=/key=``. Only partitions that ``bars`` touches are replaced. Every
     partition has at most ``files`` files, dealt by symbol and sorted, so one symbol's range reads few row groups."""

@@ -10,6 +10,7 @@ from test_oracles import SF, TABLES, rows
 from quotemill.operators import candles, listings, quality, scanners
 from quotemill.plans import scans
 from quotemill.plans.queries import ORACLES, QUERIES
+from quotemill.sources import model
 
 DAY = datetime.date(2024, 3, 4)  # a Monday
 
@@ -68,3 +69,19 @@ def test_arrivals_of_an_older_bar_are_ignored(spark):
     rows_ = [(t(0), t(62)), (t(0), t(65)), (t(60), t(121)), (t(0), t(130)), (t(60), t(124))]
     got = {r["ts"]: (r["delay_s"], r["spread_s"]) for r in quality.arrival_spread(spark.createDataFrame(rows_, "ts timestamp_ntz, arrived timestamp_ntz"), 60).collect()}
     assert got == {t(0): (2, 3), t(60): (1, 3)}
+
+
+def test_days_of_a_bounded_scan_are_computed_once(spark):
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    assert reads(model.shipments(spark, SF)) == 1
+    for side in ("up", "down"):  # the days within the other bounds come from a written table
+        assert reads(QUERIES[f"scan_daily_parabolic_{side}_bounded"](spark, SF)) == 0
+        assert reads(QUERIES[f"scan_daily_parabolic_{side}"](spark, SF)) == 2  # once more for unknown symbols, of which there are none
+
+
+def test_days_as_their_own_target(spark):
+    from quotemill.operators import blocks
+
+    days = spark.createDataFrame([(k, DAY + datetime.timedelta(d), 1.0) for k in (1, 2, None) for d in range(3)], "symbol long, date date, close double")
+    key = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert key(blocks.spine(days, days)) == key(blocks.spine(days, days.select("*"))) and blocks.spine(days, days).count() == 10
