@@ -234,26 +234,26 @@ def to_table(stream: DataFrame, trigger: dict | None = None) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def replay(rows: DataFrame, batches: int = 5, most: int = 2_000_000, at: str = "ts") -> DataFrame:
-    """A table as a stream of files, each with the rows of one stretch of time, read one file a micro-batch in that order. There are
-    ``batches`` stretches, and more if one would have over some ``most`` rows."""
+def replay(rows: DataFrame, batches: int = 5, most: int = 2_000_000, at: str = "ts", size: int = 32 << 20) -> DataFrame:
+    """A table as a stream of files, each with the rows of one stretch of time, read in that order. There are ``batches`` micro-batches,
+    and more if one would have over some ``most`` rows; each takes several files if one would be over some ``size`` bytes, so that
+    no task writes or reads more than that, however much there is."""
     spark = rows.sparkSession
     path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     rows = rows.withColumn(at, F.col(at).cast("timestamp"))
-    seconds = F.unix_micros(at) / 1e6
-    n, low, high = rows.agg(F.count("*"), F.min(seconds), F.max(seconds)).first()
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in rows.dtypes), F.lit(0))
+    n, held = rows.agg(F.count("*"), F.sum(width.cast("long"))).first()
     batches = max(batches, -(-n // most))
-    edges = rows.select(seconds.alias("s")).approxQuantile("s", [k / batches for k in range(1, batches)], 1 / (20 * batches)) if n else []
-    stretch = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e <= seconds)) if edges else F.lit(0)
-    rows.withColumn("stretch", stretch).repartition("stretch").write.partitionBy("stretch").parquet(path)
+    files_each = max(1, -(-(held or 0) // (batches * size)))
+    rows.repartitionByRange(batches * files_each, at).write.parquet(path)  # equal times stay together
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = files.listFiles(folder, True)
-    while found.hasNext():  # a file a stretch: their times give the order in which a stream takes them
+    while found.hasNext():  # a file a stretch, numbered along time: the times of files give the order in which a stream takes them
         one = found.next().getPath()
         if one.getName().endswith(".parquet"):
-            files.setTimes(one, (1_600_000_000 + 60 * int(one.getParent().getName().split("=")[1])) * 1000, -1)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/stretch=*")
+            files.setTimes(one, (1_600_000_000 + int(one.getName().split("-")[1])) * 1000, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(path)
 
 
 def matches(name: str, bars: DataFrame, days: DataFrame, freq: str, **params) -> DataFrame:

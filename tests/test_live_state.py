@@ -1,6 +1,7 @@
 """State that goes from one micro-batch to the next, and over restarts, against the batch operators."""
 
 import datetime as dt
+import pathlib
 
 import numpy as np
 import pandas as pd
@@ -161,3 +162,14 @@ def test_only_what_is_asked_for_is_computed(spark, tables):
     one = live.subscribed_indicators(by_freq, subscriptions.filter("subscription_id = 'c'"), compute)
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(" not in plan and "prev_day_close" not in plan and "Window" in plan
+
+
+def test_replay_bounds_its_files_but_not_its_batches(spark):
+    heads = spark.range(600).selectExpr("id % 7 AS symbol", "repeat(cast(id AS string), 100) AS title", "timestamp'2024-01-01' + make_dt_interval(0, id) AS published_at")
+    stream, seen = running.replay(heads, 3, at="published_at", size=10_000), {}
+    stream.writeStream.foreachBatch(lambda b, n: seen.update({n: [r[0] for r in b.selectExpr("unix_micros(published_at)").collect()]})).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(map(len, seen.values())) == 600
+    assert all(max(seen[n]) < min(seen[n + 1]) for n in range(2))
+    folder = stream._jdf.queryExecution().analyzed().toString().split("FileSource[")[1].split("]")[0].removeprefix("file:")
+    sizes = [len(spark.read.parquet(str(p)).collect()) for p in sorted(pathlib.Path(folder).glob("*.parquet"))]
+    assert len(sizes) > 12 and max(sizes) < 100
