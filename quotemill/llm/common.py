@@ -140,21 +140,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return nodes.unionByName(roots).groupBy("id").agg(F.min("component").alias("component"))
 
 
-def region_links(regions: DataFrame, keys: list[str], about: DataFrame, fits, confirm, stars: DataFrame, split=None, region: int = 0) -> DataFrame:
+def region_links(regions: DataFrame, keys: list[str], about, fits, confirm, stars: DataFrame) -> DataFrame:
     """Confirmed links ``(a, b)`` between members of a region (rows ``keys, id``), enough of them to join all that
-    links join. ``about`` has by ``id`` what ``fits`` compares; ``stars`` are the candidates of members with their roots.
+    links join. ``about`` has by ``id`` what ``fits`` compares, or adds it to rows of members; ``stars`` are the candidates of members with their roots.
 
     Stars are confirmed first. Regions whose members they all join are done; in the others, members that are not in the
     largest component there are compared with all members of other components. A group of
-    near copies, however large, thus costs one candidate a member and is never expanded into pairs. Regions of more
-    than ``region`` members that are left are dealt out anew by ``split`` (rows ``keys, id, c`` before and after)."""
+    near copies, however large, thus costs one candidate a member and is never expanded into pairs."""
     links = confirm(stars)
     groups = small(materialize(connected_components(links)))
-    rows = materialize(_mixed(regions.select(*keys, "id").join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), keys))
-    if split is not None:
-        large = materialize(_mixed(split(rows.filter(F.col("many") > region).select(*keys, "id", "c")), keys))
-        rows = rows.filter(F.col("many") <= region).unionByName(large)
-    rows = materialize(rows.drop("many").join(about, "id"))
+    rows = _mixed(regions.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), keys).drop("many")
+    rows = materialize(about(rows) if callable(about) else rows.join(about, "id"))
     x, y = rows.filter("c <> root_c").alias("x"), rows.alias("y")
     here = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
     once = (F.col("y.c") == F.col("y.root_c")) | (F.col("x.id") < F.col("y.id"))
